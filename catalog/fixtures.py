@@ -15,6 +15,7 @@ from textlab.functions import text as T
 from textlab.operators.ranking import first_rows, positions
 from textlab.operators.vectors import vector_lookup
 from textlab.session import written
+from textlab.sources.readers import read_documents
 
 # Invented lists for the synthetic prose of the test tables.
 TERMS = ["and the", "and the by", "the by", "of the", "with"]
@@ -43,13 +44,17 @@ def once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return _written[key]
 
 
+def full_documents(spark, sf):
+    return read_documents(spark, f"{sf}/documents.parquet")
+
+
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return full_documents(spark, sf).select("doc_id", "text")
 
 
 def posts(spark, sf):
     """Documents as posts with an author and a time; some authors are gone."""
-    docs = table(spark, sf, "documents")
+    docs = full_documents(spark, sf)
     events = table(spark, sf, "events").select(
         F.col("event_id").alias("doc_id"), "ts",
         F.when(F.col("event_type") != "error", F.col("user_id").cast("string")).alias("author"),

@@ -141,10 +141,10 @@ def alnum_tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     one token and is dropped, since it is not alphanumeric.
     """
     tokens = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    if stop_words:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        tokens = F.filter(tokens, lambda w: ~F.array_contains(stops, w))
-    return F.filter(tokens, lambda w: w.rlike(ALPHANUMERIC))
+    stops = list(stop_words)
+    if not stops:
+        return F.filter(tokens, lambda w: w.rlike(ALPHANUMERIC))
+    return F.filter(tokens, lambda w: ~w.isin(stops) & w.rlike(ALPHANUMERIC))
 
 
 def vectorizer_tokens(tokens: Column) -> Column:
@@ -161,12 +161,15 @@ def chunk_words(
     there are ``words // size + 1`` chunks; the last is empty when the word
     count is a multiple of ``size``, unless ``drop_empty_tail`` is set.
     """
-    words = whitespace_words(text)
-    last = F.floor(F.size(words) / F.lit(size)).cast("int")
-    if drop_empty_tail:
-        last = F.floor((F.size(words) - 1) / F.lit(size)).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.array_join(F.slice(words, i * size + 1, F.lit(size)), " "),
-    )
-    return F.when(F.size(words) < limit, F.array(text)).otherwise(chunks)
+
+    def cut(words: Column) -> Column:
+        rest = 1 if drop_empty_tail else 0
+        last = F.floor((F.size(words) - rest) / F.lit(size)).cast("int")
+        chunks = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice(words, i * size + 1, F.lit(size)), " "),
+        )
+        return F.when(F.size(words) < limit, F.array(text)).otherwise(chunks)
+
+    # The words are bound to a variable, so a text is split once, not per chunk.
+    return F.get(F.transform(F.array(whitespace_words(text)), cut), F.lit(0))
