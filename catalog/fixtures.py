@@ -12,6 +12,7 @@ from catalog.registry import cte
 from textlab.functions import hashing as H
 from textlab.functions import names as N
 from textlab.functions import text as T
+from textlab.operators.explode import exploded
 from textlab.operators.ranking import first_rows, positions
 from textlab.operators.vectors import vector_lookup
 from textlab.session import written
@@ -157,9 +158,8 @@ def word_vectors(spark, sf):
     """The most frequent words, one per embedding."""
 
     def build():
-        words = documents(spark, sf).select(
-            F.explode(F.array_distinct(T.letters_tokens(F.col("text")))).alias("word")
-        ).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        distinct = F.array_distinct(T.letters_tokens(F.col("text")))
+        words = exploded(documents(spark, sf), [], distinct, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
         ranked = positions(words, [F.desc("df"), "word"], "vec_id")
         vectors = table(spark, sf, "embeddings").select(
             "vec_id", F.col("embedding").cast("array<double>").alias("vector"))

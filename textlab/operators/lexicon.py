@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions import text as T
+from textlab.operators.explode import exploded
 
 MAX_LITERAL_TERMS = 20_000
 
@@ -49,5 +50,5 @@ def term_pairs(docs: DataFrame, terms: Sequence[str], text: str = "text") -> Dat
         F.struct(F.lit(t).alias("term"), T.count_occurrences(content, t).alias("n"))
         for t in terms if t
     ])
-    pairs = F.explode(F.filter(found, lambda p: p["n"] > 0)).alias("pair")
-    return docs.select("doc_id", pairs).select("doc_id", "pair.term", "pair.n")
+    pairs = exploded(docs, ["doc_id"], F.filter(found, lambda p: p["n"] > 0), "pair")
+    return pairs.select("doc_id", "pair.term", "pair.n")

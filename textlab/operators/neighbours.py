@@ -25,6 +25,7 @@ from textlab.session import written
 
 MAX_PIVOTS = 256
 BLOCK_ROWS = 2_000
+_FOUND = "rep bigint, near bigint, distance double"
 DIGITS = 9  # distances are compared after rounding, ties go to the smaller id
 
 
@@ -90,7 +91,11 @@ def _nearest_distinct(
 ) -> DataFrame:
     """``rep, near, distance``: the ``k`` nearest other distinct vectors."""
     n = reps.count()
-    # Few rows need no pruning; many get cells of a quarter block until the limit.
+    if n <= block_rows:
+        # All rows fit in one block and need no cells.
+        block = reps.select("rep", "vector", F.lit(0).alias("cell")).groupBy("cell")
+        return block.cogroup(block).applyInPandas(_search(k), _FOUND)
+    # Cells of a quarter block, up to the limit.
     # Bounded: at most max_pivots vectors reach the driver.
     n_pivots = min(max_pivots, max(1, 4 * n // block_rows))
     chosen = reps.orderBy(H.order_key("pivot", F.col("rep")), "rep").limit(n_pivots).collect()
@@ -127,7 +132,7 @@ def _nearest_distinct(
     right = assigned.select("rep", "vector", "cell", pb.alias("pb"), qb.alias("qb"))
     keys = ["cell", "qb", "pb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _search(k), "rep bigint, near bigint, distance double"
+        _search(k), _FOUND
     )
     return first_rows(found, ["rep"], ["distance", "near"], k)
 

@@ -31,10 +31,12 @@ def first_rows(
 
 def positions(
     df: DataFrame, order_by: Sequence[Column | str], name: str = "pos",
-    within: Sequence[str] = (),
+    within: Sequence[str] = (), size: str | None = None,
 ) -> DataFrame:
     """Add the 0-based place of every row in a total order, or within groups.
 
+    ``size`` names a column for the rows of the group.
+
     Pass slim tables with a unique key in ``order_by`` and join wide columns
     later. The sorted table is written once, which fixes the row places.
     """
@@ -56,7 +58,8 @@ def positions(
     )
     if not within:
         return ranked
-    starts = ranked.groupBy(*within).agg(F.min(name).alias("_start"))
+    sizes = [F.count(F.lit(1)).alias(size)] if size else []
+    starts = ranked.groupBy(*within).agg(F.min(name).alias("_start"), *sizes)
     return (
         ranked.join(starts, list(within))
         .withColumn(name, F.col(name) - F.col("_start"))

@@ -44,10 +44,7 @@ def stratified_folds(rows: DataFrame, n: int = 5, within: tuple[str, ...] = ())
     as there are places ``p`` with ``p % n = i`` in its stretch.
     """
     keys = list(within)
-    ranked = written(
-        positions(rows.select(*keys, "row_id", "label"), ["row_id"], "pos", [*keys, "label"]),
-        "folds",
-    )
+    ranked = positions(rows.select(*keys, "row_id", "label"), ["row_id"], "pos", [*keys, "label"])
     # One row per class (and group).
     classes = ranked.groupBy(*keys, "label").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first")
@@ -113,7 +110,8 @@ def smote(features: DataFrame, k: int = 5) -> DataFrame:
 
     A synthetic row lies on the segment from a minority row to one of its ``k``
     nearest minority neighbours. Result: ``row_id, vector, label, is_synthetic``;
-    synthetic rows are numbered after the largest ``row_id``.
+    synthetic rows are numbered after the largest ``row_id``. The features are
+    read several times, so pass a written table, not a long computation.
     """
     spark = features.sparkSession
     label, n_minority, n_new = class_sizes(features)

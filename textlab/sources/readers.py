@@ -27,20 +27,19 @@ def read_corpus(
     return out if variant is None else out.withColumn("variant", F.lit(variant))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that arrives in fewer splits than there are cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that arrives in fewer splits than there are cores.
 
     A single file or row group would keep one core busy with all the text work.
-    Larger tables have enough splits and are left alone. Later aggregates and
-    windows by the key need no second shuffle.
+    Larger tables have enough splits and are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents in Parquet, ready for work on their text."""
-    return spread(spark.read.parquet(path), key)
+    return spread(spark.read.parquet(path))
 
 
 def read_terms(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:
