@@ -118,11 +118,11 @@ def _nearest_distinct(
     asked = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
     point_blocks = F.array(*[F.lit(_blocks(size.get(c, (0,))[0], block_rows)) for c in cells])
     query_blocks = F.array(*[F.lit(_blocks(asked.get(c, 0), block_rows)) for c in cells])
-    salt = F.abs(F.xxhash64("rep"))
+    salt = F.xxhash64("rep")
 
     def spread(own, other):
         # A row sits in one block of its side and visits every block of the other.
-        mine = (salt % F.get(own, F.col("cell"))).cast("int")
+        mine = F.pmod(salt, F.get(own, F.col("cell"))).cast("int")
         theirs = F.explode(F.sequence(F.lit(0), F.get(other, F.col("cell")) - 1))
         return mine, theirs
 
