@@ -16,7 +16,7 @@ from textlab.operators.sampling import (
     class_weights, holdout_splits, smote, stratified_folds,
 )
 from textlab.operators.search import SPACE, trial_table
-from textlab.operators.selection import mutual_information
+from textlab.operators.selection import mutual_information, top_percent
 from textlab.operators.tfidf import tfidf
 from textlab.operators.vectors import aggregate_vectors
 from textlab.plans.experiments import prepare_data, variant_experiment
@@ -110,6 +110,24 @@ def mutual_information_scores(spark, sf):
     return mutual_information(weights, labels).withColumn("score", F.round("score", 6))
 
 
+@query("top_k_percent_features", """
+    SELECT pct, rank, term, score FROM (
+        SELECT term, score, row_number() OVER (ORDER BY score DESC, term) AS rank, count(*) OVER () AS n
+        FROM (SELECT term, round(sum(CASE WHEN n > 0 THEN n / total * ln(n * total / (r * c)) ELSE 0 END), 9)
+                         + 0.0 AS score
+              FROM (SELECT m.term, CAST(m.n AS DOUBLE) AS n, sum(m.n) OVER (PARTITION BY m.term, m.bin) AS r,
+                           sum(m.n) OVER (PARTITION BY m.term, m.label) AS c,
+                           CAST(sum(m.n) OVER (PARTITION BY m.term) AS DOUBLE) AS total FROM mi_cells m)
+              GROUP BY term)),
+        (SELECT unnest(CAST([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45] AS DOUBLE[])) AS pct)
+    WHERE rank <= floor(pct * n)""", ("mi_cells",))
+def top_k_percent_features(spark, sf):
+    """The best shares of the vocabulary by mutual information with the label."""
+    labels = X.corpus(spark, sf).select("doc_id", "label")
+    scores = mutual_information(tfidf(tokens(spark, sf)), labels)
+    return top_percent(scores.withColumn("score", F.round("score", 9)))
+
+
 @query("balanced_class_weights", """
     SELECT doc_id, label, round(count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)), 6) AS weight
     FROM corpus""", ("corpus",))

@@ -12,10 +12,8 @@ from textlab.operators import cohort as C
 from textlab.operators import corpus as K
 from textlab.operators import lexicon as L
 from textlab.operators import report as R
-from textlab.operators.selection import top_percent
 from textlab.plans.cohorts import control_cohort, positive_cohort
-from catalog.aggregates import named_results, tokens
-from textlab.operators.tfidf import document_frequency
+from catalog.aggregates import named_results
 
 
 @query("history_order", """
@@ -153,19 +151,6 @@ def numeric_suffix_sort(spark, sf):
         F.concat(F.lit("post_"), F.col("doc_id").cast("string")).alias("name")))
 
 
-@query("top_k_percent_features", """
-    SELECT pct, rank, term, score FROM (
-        SELECT term, CAST(df AS DOUBLE) AS score, row_number() OVER (ORDER BY df DESC, term) AS rank,
-               count(*) OVER () AS n
-        FROM (SELECT term, count(DISTINCT doc_id) AS df FROM term_tokens GROUP BY term HAVING df >= 3)),
-        (SELECT unnest(CAST([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45] AS DOUBLE[])) AS pct)
-    WHERE rank <= floor(pct * n)""", ("term_tokens",))
-def top_k_percent_features(spark, sf):
-    """Every share of the vocabulary, scored here by document frequency."""
-    scores = document_frequency(tokens(spark, sf)).select("term", F.col("df").cast("double").alias("score"))
-    return top_percent(scores)
-
-
 @query("union_labelled", """
     SELECT doc_id, 1 AS label FROM documents WHERE lang = 'en'
     UNION ALL SELECT doc_id, 0 FROM documents WHERE lang <> 'en'""")
