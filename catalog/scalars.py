@@ -84,7 +84,7 @@ def hash_author(spark, sf):
     FROM (SELECT doc_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM posts)""", ("posts",))
 def index_window_bounds(spark, sf):
     """Epoch seconds to a timestamp, and the end of its window."""
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     start = F.timestamp_seconds(seconds)
     return X.posts(spark, sf).select(
         "doc_id", F.unix_seconds(start).alias("start_s"), F.unix_seconds(index_window(start)).alias("end_s"))
