@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import exact, mixing, urls, warc
+from textlab.llm import exact, mixing, suffix_array, suffix_tree, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark, sf_dir):
+    return suffix_array.remove_repeated_bytes(documents(spark, sf_dir))
+
+
+@query("op5_suffix_tree_dedup")
+def op5_suffix_tree_dedup(spark, sf_dir):
+    return suffix_tree.remove_repeated_words(documents(spark, sf_dir))
+
+
 @query("op6_warc", r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages

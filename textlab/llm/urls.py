@@ -13,10 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of 64 bits: 1 MB whatever the list, so the filter may be broadcast. Longer lists
-#: let more probes through to the join; the result is the same.
-BLOCKS = 1 << 17
-BITS_PER_KEY = 6
+from textlab.llm.blooms import bloom, passing
 
 
 def canonical(url: Column) -> tuple[Column, Column]:
@@ -39,27 +36,6 @@ def host_suffixes(host: Column) -> Column:
     )
 
 
-def block_of(host: Column, path: Column) -> Column:
-    return F.pmod(F.xxhash64(host, path), F.lit(BLOCKS)).cast("int")
-
-
-def mask_of(host: Column, path: Column) -> Column:
-    """The bits of a key within its block, from a second hash."""
-    other = F.xxhash64(F.lit("bits"), path, host)
-    mask = F.lit(0).cast("long")
-    for i in range(BITS_PER_KEY):
-        position = F.pmod(F.shiftright(other, 9 * i), F.lit(64)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), position))
-    return mask
-
-
-def bloom(rules: DataFrame) -> DataFrame:
-    """``block, word``: the blocked Bloom filter of ``rules(host, path)``, at most ``BLOCKS`` rows."""
-    return rules.groupBy(block_of(F.col("host"), F.col("path")).alias("block")).agg(
-        F.bit_or(mask_of(F.col("host"), F.col("path"))).alias("word")
-    )
-
-
 def filter_urls(
     pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ("page_id",), url_col: str = "url",
     default: str = "allow",
@@ -94,11 +70,7 @@ def filter_urls(
         .select("host", "path", "rule_host", F.explode(fitting).alias("_length"))
         .select("host", "path", "rule_host", F.substr("path", F.lit(1), "_length").alias("rule_path"))
     )
-    key = (F.col("rule_host"), F.col("rule_path"))
-    possible = (
-        probes.withColumn("block", block_of(*key)).join(F.broadcast(bloom(rules)), "block")
-        .where(F.col("word").bitwiseAND(mask_of(*key)) == mask_of(*key)).drop("block", "word")
-    )
+    possible = passing(probes, bloom(rules, "host", "path"), "rule_host", "rule_path")
     exact = possible.join(
         rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "blocked"),
         ["rule_host", "rule_path"],
