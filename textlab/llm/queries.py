@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import exact, mixing, suffix_array, suffix_tree, urls, warc
+from textlab.llm import exact, minhash, mixing, suffix_array, suffix_tree, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_array.remove_repeated_bytes(documents(spark, sf_dir))
 
 
+@query("op4_minhash")
+def op4_minhash(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op5_suffix_tree_dedup")
 def op5_suffix_tree_dedup(spark, sf_dir):
     return suffix_tree.remove_repeated_words(documents(spark, sf_dir))
