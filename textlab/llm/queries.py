@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import exact, minhash, mixing, suffix_array, suffix_tree, urls, warc
+from textlab.llm import exact, language, minhash, mixing, suffix_array, suffix_tree, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,14 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_array.remove_repeated_bytes(documents(spark, sf_dir))
 
 
+@query("op3_language")
+def op3_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    docs = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, keep=("held_out",))
+
+
 @query("op4_minhash")
 def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
