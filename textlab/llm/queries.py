@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import exact, language, minhash, mixing, suffix_array, suffix_tree, urls, warc
+from textlab.llm import exact, language, minhash, mixing, pii, suffix_array, suffix_tree, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,9 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOU
 """)
 def op9_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark, sf_dir):
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
