@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import exact, language, minhash, mixing, pii, suffix_array, suffix_tree, urls, warc
+from textlab.llm import decontaminate, exact, language, minhash, mixing, pii, suffix_array, suffix_tree, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_array.remove_repeated_bytes(documents(spark, sf_dir))
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(documents(spark, sf_dir), benchmark)
+
+
 @query("op3_language")
 def op3_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
