@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.arrays import SIGNS, U, Words, slices
+from textlab.llm.batches import materialised
 from textlab.llm.blooms import might_contain
-from textlab.session import written
 
 WINDOW, STRIDE = 24, 12
 PART = 48  # words of an item that are searched for together
 LEAST_TERMS = 8  # of every item, its rarest half of words is in the latent space, and so many at least
 RANK, SKETCH = 64, 80
-COSINE, EXACT_COSINE = 0.45, 0.25
+COSINE, EXACT_COSINE = 0.4, 0.25
 OVERLAP, ANSWER = 0.6, 0.5
 BLOCK_ITEMS = 500  # items searched for at once: bounds what tasks are sent
 TERM_BLOCK = 512
@@ -192,13 +192,16 @@ def gram_times(hits: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.nd
 
 
 def latent_space(hits: DataFrame, weight: np.ndarray, rank: int = RANK, sketch: int = SKETCH, seed: int = 11) -> np.ndarray:
-    """Right singular vectors of the passages: a randomised range finder with a Rayleigh-Ritz step."""
+    """A unit vector for every term, from the right singular vectors of the passages: a
+    randomised range finder with a Rayleigh-Ritz step."""
     width = min(sketch, len(weight))
     basis = np.random.default_rng(seed).standard_normal((len(weight), width))
     basis, _ = np.linalg.qr(gram_times(hits, weight, basis))
     small = basis.T @ gram_times(hits, weight, basis)
     _, vectors = np.linalg.eigh((small + small.T) / 2)
-    return (basis @ vectors[:, ::-1][:, :rank]).astype(np.float32)
+    space = basis @ vectors[:, ::-1][:, :rank]
+    # Rare words load little on the first vectors; at unit length, each counts by its weight.
+    return (space / np.maximum(np.linalg.norm(space, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
@@ -228,10 +231,9 @@ def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
             new = np.ones(len(doc), dtype=bool)
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (window[1:] > window[:-1] + 2)
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(doc)) - 1
-            ids = chunk.column(0).take(pa.array(doc[first.astype(int)])) if len(first) else chunk.column(0).slice(0, 0)
+            last = np.append(first[1:], len(doc))[: len(first)] - 1
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(item[first]), pa.array(window[first]), pa.array(window[last])], names=["doc", "item", "first", "last"]
+                [chunk.column(0).take(pa.array(doc[first])), pa.array(item[first]), pa.array(window[first]), pa.array(window[last])], names=["doc", "item", "first", "last"]
             )
 
     return hits.mapInArrow(search, "doc long, item long, first long, last long")
@@ -289,9 +291,9 @@ def leaks(docs: DataFrame, benchmark: list[tuple[int, str]]) -> DataFrame:
     if not items.ids:
         return docs.sparkSession.createDataFrame([], "doc long, item_id long, overlap double, answer double")
     items.weigh(*document_frequency(docs, items.vocabulary))
-    hits = written(term_hits(docs, items.terms), "hits")
+    hits = materialised(term_hits(docs, items.terms), "hits")
     space = latent_space(hits, items.weight)
-    found = written(candidates(hits, items, space), "candidates")
+    found = materialised(candidates(hits, items, space), "candidates")
     return confirmed(docs, found, items)
 
 
@@ -323,7 +325,7 @@ def decontaminate(
         some = leaks(docs, sorted((r.item_id, r.text) for r in own.collect()))
         found = some if found is None else found.unionByName(some)
     best = F.max(F.struct("overlap", (-F.col("item_id")).alias("negative"), "answer")).alias("best")
-    judged = written(found, "leaks").groupBy("doc").agg(best, F.countDistinct("item_id").alias("n_items"))
+    judged = materialised(found, "leaks").groupBy("doc").agg(best, F.countDistinct("item_id").alias("n_items"))
     return docs.select("doc").join(judged, "doc", "left").select(
         F.when(F.col("doc") != nothing, F.col("doc")).alias("doc_id"), F.col("n_items").isNotNull().alias("contaminated"),
         (-F.col("best.negative")).alias("item_id"), F.col("best.overlap").alias("overlap"),

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.llm.arrays import BYTES, U, Hashes, mix, slices
+from textlab.llm.arrays import BYTES, U, Hashes, slices
+from textlab.llm.batches import materialised
 
 #: Labelled rows the model is fitted on, for each language: those whose hashes of the id are least.
 FIT_ROWS = 2_000
@@ -256,7 +257,7 @@ def identify(
     fields += ["lang_pred string", "score double"]
     fields += ["spans array<struct<lang: string, first: int, words: int>>"] * spans
     names = [f.split(" ")[0] for f in fields]
-    return chosen.mapInArrow(label, ", ".join(fields))
+    return materialised(chosen.mapInArrow(label, ", ".join(fields)), "languages")
 
 
 def held_out(doc_id, folds: int = 5):
