@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.arrays import BYTES, Anchors, Words, joined, mix, slices
+from textlab.llm.batches import materialised
 from textlab.llm.blooms import might_contain
 from textlab.session import written
 
 #: The place of rows without an id: after all others.
 LAST = (1 << 63) - 1
-FLUSH = 1 << 18  # runs a task holds before it sends them
+FLUSH = 1 << 17  # runs a task holds before it sends them
 SENT = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("run", "<u2")])
 SPAN = "doc long, low long, high long"
 EDGE = "doc long, at long, low long, high long, key long"
@@ -204,9 +205,9 @@ def repeated_spans(
     ``decide`` finds the windows of segments that also start earlier.
     """
     parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(compared(anchored(docs, shape, parts), shape), "runs")
+    found = materialised(compared(anchored(docs, shape, parts), shape), "runs")
     edges = found.where("key IS NOT NULL")
-    segments = written(fetched(docs, edges, shape), "segments")
+    segments = materialised(fetched(docs, edges, shape), "segments")
     return found.where("key IS NULL").select("doc", "low", "high").unionByName(decide(segments, shape))
 
 
@@ -255,5 +256,5 @@ def kept_texts(docs: DataFrame, spans: DataFrame, shape: Shape, texts: bool = Fa
             )
 
     schema = "doc long, n_tokens long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    out = docs.join(by_doc, "doc", "left").select("doc", "text", "spans").mapInArrow(remove, schema)
+    out = materialised(docs.join(by_doc, "doc", "left").select("doc", "text", "spans").mapInArrow(remove, schema), "kept")
     return out.withColumn("doc_id", F.when(F.col("doc") != LAST, F.col("doc"))).drop("doc")

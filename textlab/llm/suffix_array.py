@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.llm.batches import materialised
 from textlab.llm.repeats import Shape, kept_texts, keyed, later_windows, repeated_spans
-from textlab.session import written
 
 #: Strings of 100 bytes; a third of them is enough of an anchor to be rare.
 SHAPE = Shape(size=100, gram=50, words=False)
-BUCKET_SUFFIXES = 16_384
+BUCKET_SUFFIXES = 8_192
 
 
 def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def runs_of(doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > low[:-1] + 1)
     first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(doc)) - 1
+    return first, np.append(first[1:], len(doc))[: len(first)] - 1
 
 
 def sorted_buckets(segments: DataFrame, shape: Shape) -> DataFrame:
@@ -114,7 +114,7 @@ def sorted_buckets(segments: DataFrame, shape: Shape) -> DataFrame:
 
 
 def repeated_windows(segments: DataFrame, shape: Shape) -> DataFrame:
-    found = written(sorted_buckets(segments, shape), "buckets")
+    found = materialised(sorted_buckets(segments, shape), "buckets")
     within = found.where("digest IS NULL").select("doc", "low", "high")
     return within.unionByName(later_windows(found.where("digest IS NOT NULL").drop("high"), shape.size))
 

@@ -22,7 +22,7 @@ from textlab.llm.suffix_array import runs_of
 from textlab.session import written
 
 SHAPE = Shape(size=20, gram=6, words=True)
-GROUP_SUFFIXES = 16_384  # segments whose windows fit into a task's memory with ease
+GROUP_SUFFIXES = 8_192  # segments whose windows fit into a task's memory with ease
 
 
 def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
