@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog.filters import DISPLAY_SQL
-from catalog.joins import document_variants, predictions
+from catalog.joins import error_variants, predictions
 from catalog.registry import cte, long_form, query
 from textlab.functions import names as N
 from textlab.functions import text as T
@@ -290,7 +290,7 @@ cte("report", """
 
 @query("concat_error_report", "SELECT label, variant, seq, start, md5(section) AS digest FROM report", ("report",))
 def concat_error_report(spark, sf):
-    docs = E.error_documents(E.misclassified(predictions(spark, sf)), document_variants(spark, sf))
+    docs = error_variants(spark, sf, E.misclassified(predictions(spark, sf)))
     named = docs.withColumn("name", F.concat(F.lit("post_"), F.col("doc_id").cast("string")))
     return E.error_report(named).select("label", "variant", "seq", "start", F.md5("section").alias("digest"))
 

@@ -41,12 +41,14 @@ def once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """A written table, built once per application, like an input file."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _written:
-        _written[key] = written(build(), name)
+        _written[key] = written(build(), name, keep=True)
     return _written[key]
 
 
 def full_documents(spark, sf):
-    return read_documents(spark, f"{sf}/documents.parquet")
+    """Documents; a session may say how many partitions a scan of one small file should have."""
+    partitions = spark.conf.get("spark.textlab.scan.partitions", None)
+    return read_documents(spark, f"{sf}/documents.parquet", partitions and int(partitions))
 
 
 def documents(spark, sf):

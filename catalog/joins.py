@@ -188,8 +188,9 @@ def predictions(spark, sf):
     return centroid_predictions(features, holdout_splits(features), X.DIMS)
 
 
-def document_variants(spark, sf):
-    return with_variants(X.documents(spark, sf), X.TERMS)
+def error_variants(spark, sf, errors):
+    """Misclassified documents, original and masked; no other document is masked or moved."""
+    return E.error_documents(errors, X.documents(spark, sf), lambda docs: with_variants(docs, X.TERMS))
 
 
 cte("document_variants", f"""
@@ -201,8 +202,7 @@ cte("document_variants", f"""
     SELECT e.label, e.doc_id, d.variant, md5(d.text) AS digest
     FROM errors e JOIN document_variants d USING (doc_id)""", ("errors", "document_variants"))
 def join_errors_documents(spark, sf):
-    errors = E.misclassified(predictions(spark, sf))
-    joined = E.error_documents(errors, document_variants(spark, sf))
+    joined = error_variants(spark, sf, E.misclassified(predictions(spark, sf)))
     return joined.select("label", "doc_id", "variant", F.md5("text").alias("digest"))
 
 

@@ -88,12 +88,13 @@ def write_results(spark, sf):
     SELECT filename, model, CASE WHEN filename LIKE 'transformer/%' THEN -1.0::DOUBLE ELSE f1 END AS f1
     FROM results""", ("results",))
 def incremental_append(spark, sf):
-    """Files already stored keep their rows, however they were scored."""
+    """A run from nothing, resumed twice; files already stored keep their rows."""
     rows = X.results(spark, sf).select("filename", "model", "f1")
     path = scratch_path(spark, "resumed")
     done = rows.where(F.col("filename").startswith("transformer/"))
-    done.withColumn("f1", F.lit(-1.0)).write.parquet(path)
+    writers.append_new(done.withColumn("f1", F.lit(-1.0)), path)
     writers.append_new(rows, path)
+    writers.append_new(rows.withColumn("f1", F.lit(-2.0)), path)
     return spark.read.parquet(path)
 
 
@@ -109,7 +110,7 @@ def write_evaluation(spark, sf):
 LOGISTIC = {"model": "Logistic Regression", "c": 1.0, "penalty": "l2", "class_weight": "balanced"}
 
 
-@query("save_load_bundle")
+@query("save_load_bundle", "SELECT row_id, true AS same FROM features", ("features",))
 def save_load_bundle(spark, sf):
     """Predictions of a saved and loaded classifier next to those before."""
     features = X.features(spark, sf)
@@ -121,7 +122,8 @@ def save_load_bundle(spark, sf):
     before = M.predict_rows(bundle.classifier, features).select("row_id", "prediction")
     after = M.predict_rows(loaded.classifier, features).select(
         "row_id", F.col("prediction").alias("prediction_loaded"))
-    return before.join(after, "row_id")
+    return before.join(after, "row_id").select(
+        "row_id", F.col("prediction").eqNullSafe(F.col("prediction_loaded")).alias("same"))
 
 
 @query("embedding_config", """

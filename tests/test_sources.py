@@ -48,20 +48,23 @@ def test_results_with_blanks(spark, tmp_path):
 def test_resume(spark, tmp_path):
     path = str(tmp_path / "results")
     schema = "filename string, f1 double"
-    spark.createDataFrame([("a", 1.0)], schema).write.parquet(path)
+    writers.append_new(spark.createDataFrame([("a", 1.0)], schema), path)  # nothing is stored yet
     writers.append_new(spark.createDataFrame([("a", 9.0), ("b", 2.0)], schema), path)
     writers.append_new(spark.createDataFrame([("b", 7.0)], schema), path)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1.0), ("b", 2.0)]
 
 
 def test_error_report_file(spark, tmp_path):
+    texts = [f"post_{i}:\nx{'y' * i}\n\n---\n" for i in range(30)]
+    starts = [sum(map(len, texts[:i])) for i in range(30)]
     report = spark.createDataFrame(
-        [(1, "masked", i, 0, f"post_{i}:\nx\n") for i in range(30)],
-        "label int, variant string, seq bigint, start bigint, section string")
+        [(1, "masked", i, starts[i], texts[i]) for i in range(30)],
+        "label int, variant string, seq bigint, start bigint, section string").repartition(5)
     writers.write_error_report(report, str(tmp_path / "report"))
     files = sorted((tmp_path / "report" / "label=1" / "variant=masked").glob("*.txt"))
-    lines = "".join(f.read_text() for f in files).split("\n")
-    assert [x for x in lines if x.startswith("post")] == [f"post_{i}:" for i in range(30)]
+    whole = "".join(f.read_text() for f in files)
+    assert whole == "".join(texts)
+    assert all(whole[a:].startswith(f"post_{i}:") for i, a in enumerate(starts))
 
 
 def test_written_tables_go_to_the_configured_folder(spark):
@@ -71,14 +74,8 @@ def test_written_tables_go_to_the_configured_folder(spark):
     assert df.count() == 5 and len(df.inputFiles()) > 0
 
 
-def test_spread_leaves_large_scans_alone(spark, tmp_path):
+def test_documents_in_so_many_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(100).repartition(8).write.parquet(path)
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
-    try:
-        scan = spark.read.parquet(path)
-        assert readers.spread(scan) is scan
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.range(100).write.parquet(path)
+    assert readers.read_documents(spark, path, 7).rdd.getNumPartitions() == 7
+    assert readers.read_documents(spark, path).count() == 100

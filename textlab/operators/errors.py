@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,17 @@ def misclassified(predictions: DataFrame) -> DataFrame:
     return wrong.select("label", F.col("row_id").alias("doc_id")).distinct()
 
 
-def error_documents(errors: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Every misclassified document in each of its variants, text unchanged."""
+def error_documents(
+    errors: DataFrame, corpus: DataFrame, variants: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Every misclassified document in each of its variants, text unchanged.
+
+    ``corpus`` has a ``variant`` per row, or ``variants`` makes them of the
+    misclassified documents alone.
+    """
+    if variants is not None:
+        wrong = errors.select("doc_id").distinct()
+        corpus = variants(corpus.join(wrong, "doc_id", "left_semi"))
     return errors.join(corpus.select("doc_id", "variant", "text"), "doc_id")
 
 

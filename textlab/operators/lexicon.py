@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from textlab.functions import text as T
 from textlab.operators.explode import exploded
 
-MAX_LITERAL_TERMS = 20_000
-
 
 def clean_terms(lines: DataFrame, column: str = "value", lower: bool = True) -> DataFrame:
     """Distinct trimmed terms of a table of lines; blank lines are dropped."""
@@ -28,18 +26,6 @@ def union_terms(*lists: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), lists).distinct()
 
 
-def term_literals(terms: DataFrame, limit: int = MAX_LITERAL_TERMS) -> list[str]:
-    """A term table as a list, for the expressions that take literals.
-
-    A lexicon is a parameter of bounded size; a larger table is an error, never
-    cut short.
-    """
-    rows = terms.select("term").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a term list holds at most {limit} terms")
-    return sorted(r["term"] for r in rows)
-
-
 def term_pairs(docs: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
     """Document-term pairs with the number of occurrences, one pass per document.
 

@@ -10,20 +10,21 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.operators.ranking import positions
 from textlab.operators.sampling import class_weights, stratified_folds
 from textlab.operators.scoring import mean_variance, split_scores
 from textlab.operators.search import trial_table
@@ -31,6 +32,8 @@ from textlab.operators.vectors import vector_dims
 from textlab.session import written
 
 SEED = 42
+TOLERANCE = 1e-4  # a fit stops when an iteration gains less, at ``max_iter`` at the latest
+PARALLEL_FITS = 4
 
 
 def build_classifier(params: Mapping, n_rows: int, dims: int, max_iter: int = 1000):
@@ -45,18 +48,18 @@ def build_classifier(params: Mapping, n_rows: int, dims: int, max_iter: int = 10
         estimator = RandomForestClassifier(
             numTrees=int(params.get("n_estimators") or 100), maxDepth=30, seed=SEED,
             featureSubsetStrategy=params.get("max_features") or "sqrt",
-            impurity=params.get("criterion") or "gini",
+            impurity=params.get("criterion") or "gini", maxMemoryInMB=1024, cacheNodeIds=True,
         )
     elif model == "Logistic Regression":
         estimator = LogisticRegression(
             regParam=1.0 / (float(params.get("c") or 1.0) * n_rows), maxIter=max_iter,
-            elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0, standardization=False,
+            elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0, standardization=False, tol=TOLERANCE,
         )
     elif model == "Neural Network":
         hidden = [int(x) for x in re.findall(r"\d+", str(params["hidden_layer_sizes"]))]
         return MultilayerPerceptronClassifier(
             layers=[dims, *hidden, 2], blockSize=int(params.get("batch_size") or 128),
-            maxIter=max_iter, seed=SEED,
+            maxIter=max_iter, seed=SEED, tol=TOLERANCE,
         )
     else:
         raise ValueError(f"unknown model: {model}")
@@ -92,20 +95,24 @@ def predict_rows(model, rows: DataFrame) -> DataFrame:
 
 
 def fit_predict_splits(
-    features: DataFrame, splits: DataFrame, params: Mapping, max_iter: int = 1000
+    features: DataFrame, splits: DataFrame, params: Mapping, max_iter: int = 1000,
+    parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
-    """``row_id, split_no, label, prediction``: one fit per split."""
+    """``row_id, split_no, label, prediction``: one fit per split, some at a time."""
     rows = as_ml(features).join(splits, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         numbers = sorted(r["split_no"] for r in splits.select("split_no").distinct().collect())
-        parts = []
-        for number in numbers:
+
+        def run(number: int) -> DataFrame:
             split = rows.where(F.col("split_no") == number)
             model = fit(split.where(F.col("part") == "train"), params, max_iter=max_iter)
             test = predict_rows(model, split.where(F.col("part") == "test"))
             kept = [c for c in ("row_id", "split_no", "label", "is_synthetic", "prediction")
                     if c in test.columns]
-            parts.append(written(test.select(*kept), "predictions"))
+            return written(test.select(*kept), "predictions")
+
+        with ThreadPool(parallelism) as pool:
+            parts = pool.map(inheritable_thread_target(features.sparkSession)(run), numbers)
         return reduce(lambda a, b: a.unionByName(b), parts)
     finally:
         rows.unpersist()
@@ -178,23 +185,25 @@ def tune(
     return best
 
 
-def tfidf_vectorizer(docs: DataFrame, min_df: int = 3) -> PipelineModel:
-    """The TF-IDF weights of ``tfidf`` as a Spark ML model over ``tokens``.
+@F.udf(VectorUDT())
+def _sparse(size, entries):
+    return Vectors.sparse(size, [(e["term_id"], e["weight"]) for e in entries or []])
+
+
+def sparse_features(weights: DataFrame, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``features``: their rows of a TF-IDF table as sparse vectors.
 
-    Spark's IDF lacks the ``+ 1`` of the weight used here, so the counts are
-    scaled by the fitted values plus one.
+    Terms are numbered in alphabetical order by a distributed sort; no
+    vocabulary is held in one place. Documents without a term get a zero vector.
     """
-    docs = docs.select("tokens")
-    counts = CountVectorizer(
-        inputCol="tokens", outputCol="counts", minDF=float(min_df), vocabSize=1 << 24
-    ).fit(docs)
-    fitted = IDF(inputCol="counts", outputCol="raw").fit(counts.transform(docs))
-    scaled = ElementwiseProduct(
-        scalingVec=Vectors.dense([x + 1.0 for x in fitted.idf.toArray()]),
-        inputCol="counts", outputCol="scaled",
+    terms = positions(weights.select("term").distinct(), ["term"], "term_id")
+    terms = terms.withColumn("term_id", F.col("term_id").cast("int"))
+    size = terms.count()
+    rows = weights.join(terms, "term").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("entries")
     )
-    unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
-    return PipelineModel(stages=[counts, scaled, unit])
+    joined = docs.join(rows, "doc_id", "left")
+    return joined.withColumn("features", _sparse(F.lit(size), "entries")).drop("entries")
 
 
 def pipeline_of(model) -> PipelineModel:

@@ -1,30 +1,28 @@
 """Exact nearest neighbours without a cross join.
 
-Rows are assigned to the nearest of a bounded number of pivots. A row must be
-compared with a cell only if the triangle inequality cannot exclude it: with
-``d`` the distance to the cell's pivot, ``r`` the cell's radius and ``b`` an
-upper bound on the distance of the k-th neighbour, only if ``d - r <= b``. Cells
-and the rows sent to them are cut into blocks of bounded size, so a cell that
-holds much of the table becomes many tasks, and a task returns ``k`` rows per
-query, not its pairs. Copies of a vector are collapsed first: each keeps its
-``k + 1`` smallest ids, which is all that the copies can contribute.
+Rows are dealt into hash groups of bounded size, and every pair of a group of
+queries and a group of points is one task, whatever the size of the table. A
+task multiplies two blocks, takes the points that may be among the ``k`` nearest
+and measures those exactly; it returns ``k`` rows per query, not its pairs. Each
+row is sent once per group of the other side, so the shuffle holds ``rows * rows /
+block_rows`` rows per side: the comparisons of an exact search are quadratic, and
+larger blocks buy fewer copies with memory. Copies of a vector are collapsed
+first: each keeps its ``k + 1`` smallest ids, which is all that the copies can
+contribute.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions import hashing as H
 from textlab.operators.ranking import first_rows
 from textlab.session import written
 
-MAX_PIVOTS = 256
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 16_384
+QUERY_ROWS = 256  # queries measured at once: bounds the block of distances in a task
 _FOUND = "rep bigint, near bigint, distance double"
 DIGITS = 9  # distances are compared after rounding, ties go to the smaller id
 
@@ -35,110 +33,49 @@ def _collapse(points: DataFrame, k: int) -> DataFrame:
     return kept.groupBy("vector").agg(F.sort_array(F.collect_list("row_id")).alias("ids"))
 
 
-def _assign(pivots: np.ndarray, ids: np.ndarray, k: int):
-    """Per row: nearest pivot, its distance, the distances to all pivots, bound."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = np.array(pdf["vector"].tolist(), dtype=float)
-            if not len(rows):
-                continue
-            d = np.stack([np.sqrt(((rows - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-            cell = d.argmin(axis=1)
-            others = np.where(ids[None, :] == pdf["rep"].to_numpy()[:, None], np.inf, d)
-            if len(pivots) > k:
-                bound = np.partition(others, k - 1, axis=1)[:, k - 1]
-            else:
-                bound = np.full(len(rows), np.inf)
-            yield pd.DataFrame({
-                "rep": pdf["rep"], "vector": pdf["vector"], "cell": cell.astype("int32"),
-                "own": d[np.arange(len(rows)), cell], "to_pivots": list(d), "bound": bound,
-            })
-
-    return run
-
-
 def _search(k: int):
     """Per block: the ``k`` nearest points of every query, itself excluded."""
     columns = ["rep", "near", "distance"]
 
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or points.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype(
-                {"rep": "int64", "near": "int64", "distance": "float64"}
-            )
-        where = np.array(points["vector"].tolist(), dtype=float)
-        ids = points["rep"].to_numpy()
+        where, ids = np.array(points["vector"].tolist(), dtype=float), points["rep"].to_numpy()
+        squares = (where**2).sum(axis=1) if len(where) else where
         found = []
-        for rep, vector in zip(queries["rep"].to_numpy(), queries["vector"]):
-            d = np.sqrt(((where - np.asarray(vector, dtype=float)) ** 2).sum(axis=1)).round(DIGITS)
-            d[ids == rep] = np.inf
-            last = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-            near = np.flatnonzero((d <= last) & np.isfinite(d))
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            found.append((np.full(len(near), rep), ids[near], d[near]))
-        return pd.DataFrame(dict(zip(columns, (np.concatenate(x) for x in zip(*found)))))
+        for start in range(0, len(queries) if len(ids) else 0, QUERY_ROWS):
+            reps = queries["rep"].to_numpy()[start:start + QUERY_ROWS]
+            rows = np.array(queries["vector"].tolist()[start:start + QUERY_ROWS], dtype=float)
+            own = (rows**2).sum(axis=1)
+            near = own[:, None] + squares[None, :] - 2.0 * (rows @ where.T)
+            near[reps[:, None] == ids[None, :]] = np.inf
+            last = np.partition(near, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(rows), np.inf)
+            # The product is exact to about 1e-15 of the squares; what may be near is measured again.
+            slack = 1e-9 * (own + squares.max() + 1.0)
+            q, p = np.nonzero((near <= (last + slack)[:, None]) & np.isfinite(near))
+            d = np.sqrt(((rows[q] - where[p]) ** 2).sum(axis=1)).round(DIGITS)
+            order = np.lexsort((ids[p], d, q))
+            q, p, d = q[order], p[order], d[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found.append((reps[q[first]], ids[p[first]], d[first]))
+        parts = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
+        return pd.DataFrame(dict(zip(columns, parts))).astype({"rep": "int64", "near": "int64", "distance": "float64"})
 
     return run
 
 
-def _blocks(rows: float, block_rows: int) -> int:
-    return max(1, math.ceil(rows / block_rows))
-
-
-def _nearest_distinct(
-    reps: DataFrame, k: int, block_rows: int, max_pivots: int
-) -> DataFrame:
+def _nearest_distinct(reps: DataFrame, k: int, block_rows: int) -> DataFrame:
     """``rep, near, distance``: the ``k`` nearest other distinct vectors."""
-    n = reps.count()
-    if n <= block_rows:
-        # All rows fit in one block and need no cells.
-        block = reps.select("rep", "vector", F.lit(0).alias("cell")).groupBy("cell")
-        return block.cogroup(block).applyInPandas(_search(k), _FOUND)
-    # Cells of a quarter block, up to the limit.
-    # Bounded: at most max_pivots vectors reach the driver.
-    n_pivots = min(max_pivots, max(1, 4 * n // block_rows))
-    chosen = reps.orderBy(H.order_key("pivot", F.col("rep")), "rep").limit(n_pivots).collect()
-    pivots = np.array([r["vector"] for r in chosen], dtype=float)
-    ids = np.array([r["rep"] for r in chosen])
-    schema = "rep bigint, vector array<double>, cell int, own double, to_pivots array<double>, bound double"
-    assigned = written(reps.select("rep", "vector").mapInPandas(_assign(pivots, ids, k), schema), "cells")
-
-    # One row per pivot: rows, radius, and the queries that reach the cell.
-    size = {r["cell"]: (r["n"], r["radius"]) for r in assigned.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("own").alias("radius")).collect()}
-    cells = range(n_pivots)
-    radius = F.array(*[F.lit(float(size[c][1]) if c in size else -math.inf) for c in cells])
-    reach = F.filter(
-        F.transform("to_pivots", lambda d, i: F.when(
-            d - F.get(radius, i) <= F.col("bound") + 1e-6, i)),
-        lambda c: c.isNotNull(),
-    )
-    queries = assigned.select("rep", "vector", F.explode(reach).alias("cell"))
-    asked = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
-    point_blocks = F.array(*[F.lit(_blocks(size.get(c, (0,))[0], block_rows)) for c in cells])
-    query_blocks = F.array(*[F.lit(_blocks(asked.get(c, 0), block_rows)) for c in cells])
-    salt = F.xxhash64("rep")
-
-    def spread(own, other):
-        # A row sits in one block of its side and visits every block of the other.
-        mine = F.pmod(salt, F.get(own, F.col("cell"))).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.get(other, F.col("cell")) - 1))
-        return mine, theirs
-
-    qb, pb = spread(query_blocks, point_blocks)
-    left = queries.select("rep", "vector", "cell", qb.alias("qb"), pb.alias("pb"))
-    pb, qb = spread(point_blocks, query_blocks)
-    right = assigned.select("rep", "vector", "cell", pb.alias("pb"), qb.alias("qb"))
-    keys = ["cell", "qb", "pb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _search(k), _FOUND
-    )
+    groups = max(1, -(-reps.count() // block_rows))
+    own = F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    queries = reps.select("rep", "vector", own.alias("query"), every.alias("point"))
+    points = reps.select("rep", "vector", own.alias("point"), every.alias("query"))
+    keys = ["query", "point"]
+    found = queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(_search(k), _FOUND)
     return first_rows(found, ["rep"], ["distance", "near"], k)
 
 
 def nearest_neighbours(
-    points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS
+    points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The ``k`` nearest other rows by Euclidean distance, for every row.
 
@@ -148,7 +85,7 @@ def nearest_neighbours(
     reps = written(
         _collapse(points, k).withColumn("rep", F.get("ids", F.lit(0))), "distinct"
     )
-    near = _nearest_distinct(reps, k, block_rows, max_pivots)
+    near = _nearest_distinct(reps, k, block_rows)
     ids = reps.select(F.col("rep").alias("near"), F.col("ids").alias("near_ids"))
     candidates = near.join(ids, "near").groupBy("rep").agg(
         F.collect_list(F.struct("distance", "near_ids")).alias("sets")

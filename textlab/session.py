@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []  # paths given out by this process
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the session, from ``spark.checkpoint.dir``.
 
@@ -29,10 +32,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has written to the shared folder.
+
+    For use between independent queries, once their results have been read.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(jvm.org.apache.hadoop.fs.Path, _made):
+        path.getFileSystem(conf).delete(path, True)
+    _made.clear()
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, fixes values that depend
@@ -41,5 +58,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if keep:  # beyond clear_scratch()
+        _made.remove(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,19 +27,14 @@ def read_corpus(
     return out if variant is None else out.withColumn("variant", F.lit(variant))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a scan that arrives in fewer splits than there are cores.
+def read_documents(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Documents in Parquet, in the splits of the scan or in so many ``partitions``.
 
-    A single file or row group would keep one core busy with all the text work.
-    Larger tables have enough splits and are left alone.
+    Ask for partitions where a few large files or row groups would keep most
+    cores idle; that moves every text once.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents in Parquet, ready for work on their text."""
-    return spread(spark.read.parquet(path))
+    documents = spark.read.parquet(path)
+    return documents if partitions is None else documents.repartition(partitions)
 
 
 def read_terms(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:

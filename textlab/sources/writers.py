@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,19 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def append_new(results: DataFrame, path: str, key: str = "filename") -> None:
-    """Append the rows whose key is not stored yet, so a run can be resumed."""
-    spark = results.sparkSession
-    stored = spark.read.parquet(path).select(key).distinct()
-    results.join(stored, key, "left_anti").select(*results.columns).write.mode("append").parquet(path)
+    """Append the rows whose key is not stored yet, so a run can be resumed.
+
+    A path that doesn't exist yet holds no rows: the first run stores all.
+    """
+    try:
+        stored = results.sparkSession.read.parquet(path).select(key).distinct()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        new = results
+    else:
+        new = results.join(stored, key, "left_anti").select(*results.columns)
+    new.write.mode("append").parquet(path)
 
 
 def write_evaluation(table: DataFrame, path: str) -> None:
@@ -46,6 +56,7 @@ def write_error_report(report: DataFrame, path: str) -> None:
     (
         report.repartitionByRange("label", "variant", "seq")
         .sortWithinPartitions("label", "variant", "seq")
-        .select("label", "variant", "section")
+        # The writer ends every row with a line end, as the section does.
+        .select("label", "variant", F.expr("left(section, length(section) - 1)").alias("section"))
         .write.partitionBy("label", "variant").option("lineSep", "\n").text(path)
     )
