@@ -103,7 +103,7 @@ def mix_sources(
     )
     # One row per source; Spark broadcasts it while it is small.
     same = sized["source"].eqNullSafe(plan["source"])
-    share = F.col("importance") * F.col("rest") / F.col("_scale")
+    share = F.try_divide(F.col("importance") * F.col("rest"), F.col("_scale"))  # null in a source without words
     drawn = (
         sized.join(plan, same).drop(plan["source"])
         .withColumn("inclusion", F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(1e-12)), F.lit(1 - 1e-12)))
@@ -150,12 +150,13 @@ def mix_sources(
     gaps = sampled.groupBy("source").agg(
         (F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap")
     ).select(F.col("source").alias("_source"), "gap")
+    gaps = written(gaps, "gaps")
     sampled = sampled.join(gaps, sampled["source"].eqNullSafe(gaps["_source"]))
     misfit = F.abs(F.col("size") - F.col("gap"))
     last = sampled.where(~F.col("extra") & (F.col("size") > 0) & (misfit < F.col("gap"))).groupBy("_source").agg(
         F.min(F.struct(misfit, "rank", "doc_id", "mark")).alias("last")
     ).select(F.col("_source").alias("_of"), "last.rank", "last.doc_id", "last.mark")
-    last = last.toDF("_of", "_rank", "_id", "_mark")
+    last = written(last.toDF("_of", "_rank", "_id", "_mark"), "last")
     is_last = F.coalesce(
         (F.col("rank") == F.col("_rank")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("mark").eqNullSafe(F.col("_mark")),
         F.lit(False),
