@@ -73,6 +73,7 @@ def filter_file_pattern(spark, sf):
                         startswith="word_embeddings", endswith=".csv")
 
 
+# The display names of a results chart, in its order.
 ORDER = ["200-D (average)", "All MiniLM L6 v2", "All MPNet base v2", "GTR T5 base", "Sentence T5 base"]
 DISPLAY_SQL = """
     CASE WHEN starts_with(split_part(filename, '/', 2), 'word_embeddings')

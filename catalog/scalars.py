@@ -13,6 +13,7 @@ from textlab.functions import names as N
 from textlab.functions import text as T
 from textlab.functions import vectors as V
 from textlab.operators.cohort import index_window
+from textlab.operators.explode import exploded
 
 
 @query("mask_terms", f"""
@@ -91,13 +92,21 @@ def index_window_bounds(spark, sf):
 
 
 @query("context_window", r"""
-    SELECT doc_id, regexp_replace(substr(t, greatest(p - 80, 1), p + 80 - greatest(p - 80, 1)),
-                                  '[^\p{L}]', ' ', 'g') AS context
-    FROM (SELECT doc_id, t, strpos(t, 'and the') AS p FROM near_text) WHERE p > 0""", ("near_text",))
+    SELECT doc_id, phrase, CAST(p AS INTEGER) AS place,
+           regexp_replace(substr(t, greatest(p - 80, 1), p + 80 - greatest(p - 80, 1)), '[^\p{L}]', ' ', 'g') AS context
+    FROM (SELECT doc_id, t, phrase, unnest(list_transform(range(0, len(parts) - 1), lambda i: CAST(1 + i * length(phrase)
+              + list_sum(list_transform(parts[1:i + 1], lambda x: length(x))) AS BIGINT))) AS p
+          FROM (SELECT doc_id, t, phrase, string_split(t, phrase) AS parts
+                FROM near_text, (VALUES ('and the'), ('of the')) x(phrase)))""", ("near_text",))
 def context_window(spark, sf):
+    """The context of every occurrence of every trigger phrase."""
     posts = X.posts(spark, sf).select("doc_id", T.post_text(F.col("title"), F.col("body")).alias("t"))
-    found = posts.withColumn("p", F.locate("and the", "t")).where("p > 0")
-    return found.select("doc_id", T.context_window(F.col("t"), F.col("p")).alias("context"))
+    found = F.flatten(F.array(*[
+        F.transform(T.phrase_positions(F.col("t"), phrase), lambda p: F.struct(F.lit(phrase).alias("phrase"), p.alias("place")))
+        for phrase in X.TRIGGERS
+    ]))
+    return exploded(posts, ["doc_id", "t"], found, "f").select(
+        "doc_id", "f.phrase", "f.place", T.context_window(F.col("t"), F.col("f.place")).alias("context"))
 
 
 @query("cosine_similarity", """

@@ -89,6 +89,15 @@ def match_near(
     return ~match_any(text, rejects) & match_any(text, triggers) & text.rlike(pattern)
 
 
+def phrase_positions(text: Column, phrase: str) -> Column:
+    """The 1-based positions of a phrase in a text, in order; occurrences don't overlap."""
+    parts = F.split(text, rf"\Q{phrase}\E", -1)
+    before = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x))
+    places = F.sequence(F.lit(0), F.size(parts) - 2)
+    return F.when(F.size(parts) > 1, F.transform(places, lambda i: before(i) + i * F.lit(len(phrase)) + 1)).otherwise(
+        F.array().cast("array<int>"))
+
+
 def context_window(text: Column, position: Column, window: int = 80) -> Column:
     """The context round a 1-based position, every non-letter read as a space."""
     first = F.greatest(position - F.lit(window), F.lit(1))
