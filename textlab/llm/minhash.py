@@ -9,7 +9,9 @@ full sets.
 A bucket is never expanded into all its pairs: its smallest members (centres)
 are compared with the others, and pairs that are connected already are left out.
 Rounds with ever more centres go on until no untested pair between components
-is left, so no link between different components is lost.
+is left, so no link between different components is lost. Shingles that no other
+set holds bound the similarities of a document from above: heavily edited copies,
+linked with nothing, need not be compared with their whole group to know that.
 """
 
 from __future__ import annotations
@@ -20,19 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.llm.arrays import U, Words, mix, slices
+from textlab.llm.batches import materialised
 from textlab.llm.blooms import might_contain
-from textlab.llm.components import components
+from textlab.llm.components import extended
 from textlab.llm.repeats import encoded
 from textlab.session import written
 
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4  # a pair at the threshold misses every band with probability 5e-6
 BATCH, MISS = 16, 1e-9  # hashes compared at a time; probability of giving up a pair that is similar enough
-CENTRES = 4  # each round has so many times the centres of the one before
+CENTRES = 8  # each round has so many times the centres of the one before
+MANY = -(1 << 63)  # stands for more than one document
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 _XOR = (mix(np.arange(1001, BANDS * ROWS + 1001, dtype=U)) >> U(32)).astype(np.uint32)
@@ -145,10 +149,47 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["doc", "shingles"]
                 )
 
-    some = might_contain(docs, wanted, "doc").join(wanted, "doc", "left_semi")
+    # An inner join with distinct ids: a semi join would be moved below the filter.
+    some = might_contain(docs, wanted, "doc").join(wanted, "doc")
     return some.select("doc", "text").mapInArrow(sets, "doc long, shingles binary")
 
 
+def shared_counts(sets: DataFrame, parts: int) -> DataFrame:
+    """``doc, n_own``: how many shingles of a document no other set holds.
+
+    Documents without any are left out. A shingle that a slice holds twice is
+    sent once, without a document, so a very frequent one never gathers.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column(1).to_pylist()
+            for a, b in slices([len(x) for x in packed], 1 << 23):
+                keys = np.frombuffer(b"".join(packed[a:b]), U)
+                owner = np.repeat(batch.column(0).to_numpy()[a:b], [len(x) // 8 for x in packed[a:b]])
+                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                owner = np.where(counts == 1, owner[first], MANY)
+                where = (mix(keys) % U(parts)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                keys, owner, ends = keys[order], owner[order], np.cumsum(np.bincount(where, minlength=parts))[:-1]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(range(parts), pa.int32()),
+                    pa.array([x.tobytes() for x in np.split(keys, ends)], pa.binary()),
+                    pa.array([x.tobytes() for x in np.split(owner, ends)], pa.binary()),
+                ], names=["part", "keys", "owners"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U)
+        owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
+        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        owner = owner[first[counts == 1]]
+        docs, n = np.unique(owner[owner != MANY], return_counts=True)
+        return pa.table({"doc": docs, "n_own": n.astype(np.int64)})
+
+    sent = sets.mapInArrow(send, "part int, keys binary, owners binary")
+    return sent.groupBy("part").applyInArrow(judge, "doc long, n_own long").groupBy("doc").agg(F.sum("n_own").alias("n_own"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
 
@@ -167,52 +208,71 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
 
 
-def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` that connect all near-duplicate classes.
+def alike(n: Column, shared: Column, n_other: Column) -> Column:
+    """Whether a set of ``n`` shingles, ``shared`` of them with any other set, can be similar
+    enough to one of ``n_other``: what two sets have in common is at most ``shared``."""
+    percent = round(100 * THRESHOLD)
+    return (100 + percent) * shared >= percent * (n + n_other)
+
+
+def near_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, component`` of the classes that verified links connect with others.
 
     ``classes``: ``doc, n_shingles, signature, bands`` of one document per set.
     """
-    sizes = classes.select("doc", "n_shingles", "signature")
+    spark = docs.sparkSession
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = classes.select("doc", F.posexplode("bands").alias("band", "key")).select(
         "doc", F.xxhash64("band", "key").alias("bucket")
     )
     # Buckets of one member hold no pair.
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    open_rows = written(members.join(shared, "bucket").select("bucket", "doc", F.col("doc").alias("label")), "buckets")
-    links = written(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    crowded = written(members.join(crowded, "bucket"), "buckets")
+    partnered = crowded.select("doc").distinct()
+    sets = materialised(full_sets(docs, partnered), "sets")
+    own = materialised(shared_counts(sets, parts), "own")
+    # What a document shares with no other set bounds every similarity that it can have.
+    sizes = classes.join(own, "doc", "left").select(
+        "doc", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("shared"), "signature"
+    ).where(alike(F.col("n"), F.col("shared"), F.ceil(F.col("n") * THRESHOLD)))
+    sizes = written(sizes.join(partnered, "doc"), "sizes")
+    open_rows = written(crowded.join(sizes.drop("signature"), "doc").withColumn("label", F.col("doc")), "buckets")
+    labels = spark.createDataFrame([], "node long, component long")
     centres = 1
-    while True:
+    while not open_rows.isEmpty():
         by_id = Window.partitionBy("bucket").orderBy("doc")
         # Written, so that adaptive execution can split the joins with very large buckets.
         middle = open_rows.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= centres)
-        middle = written(middle.select("bucket", F.col("doc").alias("a"), F.col("label").alias("label_a")), "centres")
+        middle = written(middle.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("doc", "label", "n", "shared"))), "centres")
         # A centre meets the members after it that it isn't connected with yet.
+        possible = alike(F.col("n"), F.least("shared", "shared_a"), F.col("n_a"))
         pairs = (
-            middle.join(open_rows, "bucket").where((F.col("a") < F.col("doc")) & (F.col("label_a") != F.col("label")))
-            .select("a", F.col("doc").alias("b")).distinct()
+            middle.join(open_rows, "bucket")
+            .where((F.col("doc_a") < F.col("doc")) & (F.col("label_a") != F.col("label")) & possible)
+            .select(F.col("doc_a").alias("a"), F.col("doc").alias("b")).distinct()
         )
-        one = sizes.select(F.col("doc").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sign_a"))
-        other = sizes.select(F.col("doc").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sign_b"))
-        least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        sized = pairs.join(one, "a").join(other, "b").where(100 * least >= round(100 * THRESHOLD) * most)
-        survivors = written(bayes_pruned(sized), "survivors")
-        wanted = survivors.select(F.col("a").alias("doc")).unionByName(survivors.select(F.col("b").alias("doc"))).distinct()
-        sets = written(full_sets(docs, wanted), "sets")
-        found = verified(survivors, sets)
-        links = written(links.unionByName(found), "links")
+        one = sizes.select(F.col("doc").alias("a"), F.col("signature").alias("sign_a"))
+        other = sizes.select(F.col("doc").alias("b"), F.col("signature").alias("sign_b"))
+        survivors = materialised(bayes_pruned(pairs.join(one, "a").join(other, "b")), "survivors")
+        wanted = survivors.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        found = materialised(verified(survivors, might_contain(sets, wanted, "doc")), "links")
+        if not found.isEmpty():
+            labels = extended(labels, found)
         # Centres have met everyone in their bucket and leave it; buckets within one component are done.
-        labels = components(links)
         rest = (
-            open_rows.join(middle.select("bucket", F.col("a").alias("doc")), ["bucket", "doc"], "left_anti")
-            .select("bucket", "doc").join(labels, F.col("doc") == F.col("node"), "left")
-            .select("bucket", "doc", F.coalesce("component", "doc").alias("label"))
+            open_rows.drop("label").join(middle.select("bucket", F.col("doc_a").alias("doc")), ["bucket", "doc"], "left_anti")
+            .join(labels, F.col("doc") == F.col("node"), "left")
+            .select("bucket", "doc", "n", "shared", F.coalesce("component", "doc").alias("label"))
         )
         rest = written(rest, "rest")
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        open_rows = written(rest.join(written(mixed.select("bucket"), "mixed"), "bucket"), "buckets")
-        if open_rows.isEmpty():
-            return links
+        mixed = rest.groupBy("bucket").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n")).where("low < high")
+        mixed = written(mixed.select("bucket", "least_n"), "mixed")
+        # So are members whose shared shingles are too few for the smallest set left.
+        open_rows = rest.join(mixed, "bucket").where(alike(F.col("n"), F.col("shared"), F.col("least_n"))).drop("least_n")
+        open_rows = written(open_rows, "buckets")
         centres *= CENTRES
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    every = written(described(docs), "signatures")
+    every = materialised(described(docs), "signatures")
     known = every.where("doc IS NOT NULL AND set_id IS NOT NULL")
     # One class per set: all documents of equal sets, named by the smallest id.
     named = known.groupBy("set_id").agg(F.min("doc").alias("class"))
@@ -240,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .dropDuplicates(["doc"])
     )
     first_texts = docs.where("doc IS NOT NULL")
-    labels = components(near_links(first_texts, written(classes, "classes")))
+    labels = near_components(first_texts, written(classes, "classes"))
     whole = named.join(labels, named["class"] == labels["node"], "left").select(
         "set_id", F.coalesce("component", "class").alias("component_id")
     )
