@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.arrays import BYTES, U, Hashes, slices
 from textlab.llm.batches import materialised
+from textlab.operators.ranking import hash_cutoffs
 
 #: Labelled rows the model is fitted on, for each language: those whose hashes of the id are least.
 FIT_ROWS = 2_000
@@ -94,10 +95,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on at most ``rows`` labelled documents of each language, on their whole texts."""
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Ids only are ranked. What is chosen is bounded (languages times ``rows``), so texts stay in place.
-    chosen = labelled.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows)
-    sample = labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
+    labelled = labelled.withColumn("digest", F.md5(F.col("doc_id").cast("string")))
+    # The digest of the last row of each language: a row per language, so texts stay in place.
+    cut = hash_cutoffs(labelled.select("lang", "digest"), "digest", F.least(F.col("n"), F.lit(rows)), "lang")
+    sample = labelled.join(F.broadcast(cut), "lang").where(F.col("digest") <= F.col("cutoff")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
