@@ -2,9 +2,9 @@
 
 Suffixes begin at the anchors of texts that may repeat. Spark's sampled
 splitters range-partition them by their leading bytes; a bucket sorts the
-windows of its suffixes by multikey quicksort and finds equal neighbours. Only
-the anchors at both ends of a bucket can have suffixes in another one: their
-windows are compared once more across buckets.
+windows of its suffixes by multikey quicksort and finds equal neighbours. Windows
+that agree with a bucket's least or greatest suffix may occur in the next bucket
+too: those are compared once more across buckets.
 """
 
 from __future__ import annotations
@@ -63,6 +63,13 @@ def bucket_windows(suffixes: list[bytes], before: list[bytes], windows: np.ndarr
     return padded.view(">u8").astype(np.uint64)
 
 
+def shared_prefixes(texts: list[bytes], other: bytes, most: int) -> np.ndarray:
+    """How many bytes, up to ``most``, each text and ``other`` begin with in common."""
+    rows = np.frombuffer(b"".join(t[:most].ljust(most, b"\0") for t in texts), np.uint8).reshape(-1, most)
+    differ = rows != np.frombuffer(other[:most].ljust(most, b"\0"), np.uint8)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+
+
 def runs_of(doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last places of neighbouring windows, for rows sorted by document and start."""
     new = np.ones(len(doc), dtype=bool)
@@ -72,22 +79,24 @@ def runs_of(doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sorted_buckets(segments: DataFrame, shape: Shape) -> DataFrame:
-    """Spans of windows that start earlier in the same bucket (``digest`` null), and the
-    first windows of the anchors at a bucket's ends, with their digest."""
+    """Spans of windows that start earlier in the same bucket (``digest`` null), and with
+    their digest the first windows that a neighbouring bucket may hold as well."""
     size = shape.size
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        doc, low, key = (table.column(c).to_numpy() for c in ("doc", "low", "key"))
+        table = pa.Table.from_batches(held)
+        doc, low = table.column("doc").to_numpy(), table.column("low").to_numpy()
         windows = table.column("windows").to_numpy().astype(np.int64)
         before, suffix = table.column("before").to_pylist(), table.column("suffix").to_pylist()
-        places = range(len(suffix))
-        ends = [key[min(places, key=suffix.__getitem__)], key[max(places, key=suffix.__getitem__)]]
+        # What another bucket's suffix shares with one of these, it shares with the least or the greatest.
+        reach = np.maximum(shared_prefixes(suffix, min(suffix), size), shared_prefixes(suffix, max(suffix), size))
         keys = bucket_windows(suffix, before, windows, size)
         segment = np.repeat(np.arange(len(doc)), windows)
-        start = low[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+        within = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = low[segment] + within
         order, new = multikey_order(keys)
         group = np.cumsum(new) - 1
         # The first place of every group of equal windows.
@@ -98,7 +107,9 @@ def sorted_buckets(segments: DataFrame, shape: Shape) -> DataFrame:
         later = later[np.lexsort((start[later], doc[segment[later]]))]
         a, b = runs_of(doc[segment[later]], start[later])
         spans = [doc[segment[later[a]]], start[later[a]], start[later[b]] + size]
-        edge = np.flatnonzero(first & np.isin(key[segment], ends))
+        # A window has so many bytes from the anchor on.
+        right = size - np.array([len(x) for x in before])[segment] + within
+        edge = np.flatnonzero(first & (reach[segment] >= right))
         raw = keys[edge].astype(">u8").tobytes()
         step = keys.shape[1] * 8
         digests = [hashlib.blake2b(raw[i * step:(i + 1) * step], digest_size=16).digest() for i in range(len(edge))]
