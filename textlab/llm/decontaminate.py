@@ -56,6 +56,14 @@ class Items:
             rare = own[np.argsort(-self.idf[own], kind="stable")]
             chosen[rare[:max(LEAST_TERMS, len(own) // 2)]] = True
         self.terms, self.weight = self.vocabulary[chosen], self.idf[chosen].astype(np.float32)
+        # Of every item: its length, its latent terms and their weights in it, and the weight of its other words.
+        self.bounds = []
+        for words in self.words:
+            place, hit = found_in(self.terms, words)
+            own, counts = np.unique(place[hit], return_counts=True)
+            total = self.idf[np.searchsorted(self.vocabulary, words)].sum()
+            share = counts * self.idf[chosen][own] / total
+            self.bounds.append((len(words), own, share, 1 - share.sum()))
         parts, of = [], []
         for i, words in enumerate(self.words):
             for part in np.array_split(words, -(-len(words) // PART)):
@@ -206,13 +214,14 @@ def latent_space(hits: DataFrame, weight: np.ndarray, rank: int = RANK, sketch:
 
 def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     """``doc, item, first, last``: neighbouring windows whose cosine with an item's part is high
-    in the latent space, and not low in the space of terms."""
+    in the latent space, and not low in the space of terms, where the text around them
+    holds enough of the item's words."""
     latent = items.parts @ space
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = hits.sparkSession.sparkContext.broadcast((items.weight, space, latent, items.parts, items.part_of))
+    shared = hits.sparkSession.sparkContext.broadcast((items.weight, space, latent, items.parts, items.part_of, items.bounds))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, space, latent, parts, part_of = shared.value
+        weight, space, latent, parts, part_of, bounds = shared.value
         for chunk in chunks(batches):
             passages = Passages(chunk, weight)
             if not len(passages.start):
@@ -232,6 +241,16 @@ def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (window[1:] > window[:-1] + 2)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc))[: len(first)] - 1
+            offsets = chunk.column(1).offsets.to_numpy()
+            places, terms = chunk.column(1).values.to_numpy(), chunk.column(2).values.to_numpy()
+            possible = np.zeros(len(first), dtype=bool)
+            for i, (f, e) in enumerate(zip(first, last)):
+                length, own, share, other = bounds[item[f]]
+                low, high = region_of(window[f], window[e], length)
+                at = offsets[doc[f]] + np.searchsorted(places[offsets[doc[f]]:offsets[doc[f] + 1]], (low, high))
+                # No subsequence weighs more than the latent terms that are there and all other words.
+                possible[i] = share[np.isin(own, terms[at[0]:at[1]])].sum() + other >= OVERLAP - 1e-6
+            first, last = first[possible], last[possible]
             yield pa.RecordBatch.from_arrays(
                 [chunk.column(0).take(pa.array(doc[first])), pa.array(item[first]), pa.array(window[first]), pa.array(window[last])], names=["doc", "item", "first", "last"]
             )
@@ -239,6 +258,11 @@ def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     return hits.mapInArrow(search, "doc long, item long, first long, last long")
 
 
+def region_of(first: int, last: int, length: int) -> tuple[int, int]:
+    """The words around neighbouring windows in which an item of so many words may lie."""
+    return max(0, first * STRIDE - length), last * STRIDE + WINDOW + length
+
+
 def common_weight(item: np.ndarray, text: np.ndarray, weights: np.ndarray) -> float:
     """The weight of the heaviest common subsequence; without weights, its length."""
     best = np.zeros(len(text) + 1)
@@ -266,8 +290,8 @@ def confirmed(docs: DataFrame, found: DataFrame, items: Items) -> DataFrame:
                     own = words.hash[words.first[i - a]:words.first[i - a + 1]]
                     for place in batch.column(2)[i].as_py():
                         item, weight = known[place["item"]], weights[place["item"]]
-                        low = max(0, place["first"] * STRIDE - len(item))
-                        region = own[low:place["last"] * STRIDE + WINDOW + len(item)]
+                        low, high = region_of(place["first"], place["last"], len(item))
+                        region = own[low:high]
                         overlap = common_weight(item, region, weight) / weight.sum()
                         if overlap < OVERLAP:
                             continue
