@@ -49,6 +49,55 @@ def test_trees_add_what_looks_like_the_base(spark):
     assert all(r.n_phone == (d < 1000) and r.n_added == 0 for d, r in got.items() if d < 5000)
 
 
+def with_check(number: str) -> str:
+    return next(n for n in (number + str(d) for d in range(10)) if pii.luhn(n))
+
+
+def test_many_other_forms_are_found_and_no_negatives(spark):
+    """As many spelled-out and unsigned cases as exact ones, and proposals that fail their check."""
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choices("abcdefgh", k=6))
+    number = lambda k: "".join(rng.choices("123456789", k=k))
+    fours = lambda n, sep: sep.join(n[i:i + 4] for i in range(0, len(n), 4))
+    rows, want = [], {}
+
+    def put(kind, span, found):
+        start, doc = prose(rng, 6) + " ", len(rows)
+        rows.append((doc, start + span + " " + prose(rng, 5)))
+        want[doc] = f"{pii.KINDS[kind]}:{len(start)}:{len(start) + len(span)}" if found else ""
+
+    for _ in range(120):
+        put(0, f"{name()}@{name()}.com", True)
+        put(2, fours(with_check(number(15)), " "), True)
+        put(3, f"+1 555 {number(3)} {number(4)}", True)
+        put(0, f"{name()} (at) {name()} (dot) com", True)
+        put(2, fours(with_check(number(15)), "."), True)
+        put(3, f"555 {number(3)} {number(4)}", True)
+        put(0, f"{name()} (at) {name()}.9", False)
+        card = with_check(number(15))
+        put(2, fours(card[:-1] + str((int(card[-1]) + 1) % 10), "."), False)
+        put(3, f"x{number(10)}y", False)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows, "doc_id long, text string")).collect()}
+    missed = [d for d, w in want.items() if w and got[d] != w]
+    wrong = [d for d, w in want.items() if not w and got[d]]
+    assert not wrong and len(missed) <= 0.02 * len(want), [(rows[d][1], got[d], want[d]) for d in missed[:5] + wrong[:5]]
+
+
+def test_kinds_without_exact_spans_get_additions(spark):
+    rows = [(i, f"notes of day {i}: write to ann{chr(97 + i % 26)} (at) mail (dot) org for more") for i in range(40)]
+    got = pii.find_personal_data(table(spark, rows, "doc_id long, text string")).collect()
+    assert all(r.n_email == 0 and r.n_added == 1 and r.spans.startswith("email:") for r in got)
+
+
+def test_checks_of_proposals():
+    judge = lambda kind, span, text="{}": pii.passes(text.format(span), kind, text.index("{}"), text.index("{}") + len(span))
+    assert judge(0, "x (at) y (dot) com") and judge(0, "x at y dot com") and not judge(0, "meet (at) noon.9")
+    assert judge(1, "1-2-3-255") and not judge(1, "1-2-3-256")
+    assert judge(2, "4111.1111.1111.1111") and not judge(2, "4111.1111.1111.1112")
+    assert judge(3, "555 321 4321") and judge(3, "5553214321", "tel{}") and judge(3, "5553214321", "{}x12")
+    assert not judge(3, "5553214321", "ab{}") and not judge(3, "5553214321", "{}f")
+
+
 def test_no_documents(spark):
     assert pii.find_personal_data(table(spark, [], "doc_id long, text string")).count() == 0
 
