@@ -98,6 +98,12 @@ def test_checks_of_proposals():
     assert not judge(3, "5553214321", "ab{}") and not judge(3, "5553214321", "{}f")
 
 
+def test_very_long_numbers_are_no_octets():
+    text = "9" * 5000 + ".1.2.3 and " + "0" * 5000 + "1.2.3.4"
+    assert [k for _, k, _ in pii.base_spans(text)] == [1] and not pii.octet("256") and pii.octet("00255")
+    assert not pii.passes("9" * 5000 + "-1-2-3", 1, 0, 5006)
+
+
 def test_no_documents(spark):
     assert pii.find_personal_data(table(spark, [], "doc_id long, text string")).count() == 0
 
