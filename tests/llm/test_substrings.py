@@ -1,11 +1,12 @@
 """Repeated bytes and words against sets of all windows."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 
-from tests.llm.helpers import corpus, table, words
+from tests.llm.helpers import corpus, prose, table, words
 from textlab.llm import repeats, suffix_array, suffix_tree
 from textlab.llm.arrays import Anchors, Words, sliding_least
 
@@ -55,6 +56,42 @@ def test_words_equal_brute_force(spark, group, monkeypatch):
         assert r.kept_sha256 == hashlib.sha256(left).hexdigest()
 
 
+def brute_places(rows, size, by_word):
+    """``doc, length, removed, left`` of every row, where ids may repeat or be null."""
+    nameless = sorted((t or "" for d, t in rows if d is None), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    placed = [((0, d), t) for d, t in rows if d is not None] + [((1, i), t) for i, t in enumerate(nameless)]
+    split = lambda t: words(t) if by_word else list((t or "").encode())
+    first, gone = {}, {}
+    windows = [(tuple(tokens[i:i + size]), place, i) for place, t in placed for tokens in [split(t)] for i in range(len(tokens) - size + 1)]
+    for window, place, i in windows:
+        first[window] = min(first.get(window, (place, i)), (place, i))
+    for window, place, i in windows:
+        if first[window] != (place, i):
+            gone.setdefault(place, set()).update(range(i, i + size))
+    out = []
+    for place, t in placed:
+        tokens = split(t)
+        left = [x for i, x in enumerate(tokens) if i not in gone.get(place, ())]
+        out.append((str(None if place[0] else place[1]), len(tokens), len(tokens) - len(left), b" ".join(left) if by_word else bytes(left)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("by_word", [False, True])
+@pytest.mark.parametrize("small", [8192, 3])
+def test_repeated_and_null_ids_equal_brute_force(spark, by_word, small, monkeypatch):
+    monkeypatch.setattr(suffix_array, "BUCKET_SUFFIXES", small)
+    monkeypatch.setattr(suffix_tree, "GROUP_SUFFIXES", small)
+    rng = random.Random(31)
+    one, two, three, passage = prose(rng, 70), prose(rng, 90), prose(rng, 60), prose(rng, 30)
+    rows = [(5, one), (5, one), (5, one), (7, two), (7, three + " " + passage), (3, passage), (9, one + " " + two), (9, "short")]
+    rows += [(None, t) for t in (two, prose(rng, 80), prose(rng, 50) + " " + passage, prose(rng, 95), None, "")]
+    rows += [(None, three + " " + prose(rng, 9))] + [(None, prose(random.Random(32), 77))] * 3
+    docs = table(spark, rows, "doc_id long, text string", parts=5)
+    find = suffix_tree.remove_repeated_words if by_word else suffix_array.remove_repeated_bytes
+    got = sorted((str(r[0]), r[1], r["n_removed"], bytes(r.kept)) for r in find(docs, texts=True).collect())
+    assert got == brute_places(rows, 20 if by_word else 100, by_word)
+
+
 def test_repeated_ids_and_empty_tables(spark):
     docs = table(spark, [(1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
     assert suffix_tree.remove_repeated_words(docs).count() == 3

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from textlab.llm.arrays import BYTES, Anchors, Words, joined, mix, slices
 from textlab.llm.batches import materialised
 from textlab.llm.blooms import might_contain
+from textlab.operators.ranking import positions
 from textlab.session import written
 
-#: The place of rows without an id: after all others.
-LAST = (1 << 63) - 1
+LAST = (1 << 63) - 1  # the greatest place
 FLUSH = 1 << 17  # runs a task holds before it sends them
 SENT = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("run", "<u2")])
 SPAN = "doc long, low long, high long"
@@ -55,9 +55,20 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, text``: null ids come last."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``doc, text``, and the greatest id: every row with a null id has a place of its own
+    after it, in the order of a digest of the text."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    found = docs.agg(F.max("doc").alias("last"), F.count_if(F.col("doc").isNull()).alias("nulls")).first()
+    last = -1 if found["last"] is None else found["last"]
+    if not found["nulls"]:
+        return docs, last
+    if last + found["nulls"] > LAST:
+        raise ValueError("no places are left after the greatest id for rows without one")
+    nameless = docs.where("doc IS NULL").select(
+        "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_mark"), F.monotonically_increasing_id().alias("_tie"))
+    placed = positions(nameless, ["_mark", "_tie"]).select((F.col("pos") + F.lit(last + 1)).alias("doc"), "text")
+    return docs.where("doc IS NOT NULL").unionByName(written(placed, "nameless")), last
 
 
 def anchored(docs: DataFrame, shape: Shape, parts: int) -> DataFrame:
@@ -85,9 +96,9 @@ def anchored(docs: DataFrame, shape: Shape, parts: int) -> DataFrame:
                 rows = np.empty(len(found.key), SENT)
                 rows["key"], rows["content"], rows["doc"] = found.key, found.content, docs[a:b][found.text]
                 rows["at"], rows["left"], rows["run"] = found.at, found.at - found.low, found.high - found.low
-                first = firsts(rows)
+                first, later = firsts(rows)
                 runs.append(rows[first])
-                covered.append(spans_of(rows[~first], shape.size))
+                covered.append(spans_of(rows[later], shape.size))
                 held += len(rows)
             if held > FLUSH:
                 yield packed(runs, covered)
@@ -98,13 +109,24 @@ def anchored(docs: DataFrame, shape: Shape, parts: int) -> DataFrame:
     return docs.mapInArrow(send, "part int, runs binary, covered binary")
 
 
-def firsts(rows: np.ndarray) -> np.ndarray:
-    """Of rows with equal content, the first place; as a mask."""
+def later_places(new: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of rows in the order of their group, ``doc`` and ``at``, those at another place than
+    the first row of their group; ``new`` is where groups begin. As a mask."""
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc != doc[head]) | (at != at[head])
+
+
+def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal content, one at the first place, and all at later places; as masks.
+
+    Rows that repeat an id may have more runs at the first place: they are that place."""
     order = np.lexsort((rows["at"], rows["doc"], rows["content"]))
     content = rows["content"][order]
-    first = np.ones(len(rows), dtype=bool)
-    first[order[1:]] = content[1:] != content[:-1]
-    return first
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = content[1:] != content[:-1]
+    first, later = np.empty(len(rows), dtype=bool), np.empty(len(rows), dtype=bool)
+    first[order], later[order] = new, later_places(new, rows["doc"][order], rows["at"][order])
+    return first, later
 
 
 def spans_of(rows: np.ndarray, size: int) -> np.ndarray:
@@ -132,8 +154,8 @@ def compared(sent: DataFrame, shape: Shape) -> DataFrame:
         key = rows["key"][order]
         same = key[1:] == key[:-1]
         rows = rows[order[np.append(same, False) | np.append(False, same)]]
-        first = firsts(rows)
-        covered = spans_of(rows[~first], size)
+        first, later = firsts(rows)
+        covered = spans_of(rows[later], size)
         rows = rows[first]
         keys, inverse, counts = np.unique(rows["key"], return_inverse=True, return_counts=True)
         edges = rows[counts[inverse] > 1]
@@ -164,8 +186,12 @@ def fetched(docs: DataFrame, edges: DataFrame, shape: Shape) -> DataFrame:
                 doc = np.repeat(docs[a:b], np.diff(lists.offsets.to_numpy()))
                 text = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
                 before, suffix = [], []
+                words = Words(texts[a:b]) if shape.words else None
+                length = np.diff(words.first) if shape.words else np.array([len(t) for t in texts[a:b]])
+                # Edges of a longer text with the same id.
+                inside = high + shape.size <= length[text]
+                at, low, high, key, doc, text = (x[inside] for x in (at, low, high, key, doc, text))
                 if shape.words:
-                    words = Words(texts[a:b])
                     data, first, start, end = words.data.tobytes(), words.first, words.start, words.end
                     spell = lambda i, j: b" ".join(data[s:e] for s, e in zip(start[i:j], end[i:j]))
                     for t, x, lo, hi in zip(text, at, low, high):
@@ -219,8 +245,8 @@ def merged(spans: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(step)[:length] > 0
 
 
-def kept_texts(docs: DataFrame, spans: DataFrame, shape: Shape, texts: bool = False) -> DataFrame:
-    """Per document its tokens, removed tokens, runs of removed tokens, the digest
+def kept_texts(docs: DataFrame, spans: DataFrame, shape: Shape, last: int, texts: bool = False) -> DataFrame:
+    """Per document (without an id after place ``last``) its tokens, removed tokens, runs of removed tokens, the digest
     of what is left, and, if asked for, the text that is left."""
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
@@ -257,4 +283,4 @@ def kept_texts(docs: DataFrame, spans: DataFrame, shape: Shape, texts: bool = Fa
 
     schema = "doc long, n_tokens long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     out = materialised(docs.join(by_doc, "doc", "left").select("doc", "text", "spans").mapInArrow(remove, schema), "kept")
-    return out.withColumn("doc_id", F.when(F.col("doc") != LAST, F.col("doc"))).drop("doc")
+    return out.withColumn("doc_id", F.when(F.col("doc") <= F.lit(last), F.col("doc"))).drop("doc")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.batches import materialised
-from textlab.llm.repeats import Shape, kept_texts, keyed, later_windows, repeated_spans
+from textlab.llm.repeats import Shape, kept_texts, keyed, later_places, later_windows, repeated_spans
 
 #: Strings of 100 bytes; a third of them is enough of an anchor to be rare.
 SHAPE = Shape(size=100, gram=50, words=False)
@@ -101,9 +101,11 @@ def sorted_buckets(segments: DataFrame, shape: Shape) -> DataFrame:
         group = np.cumsum(new) - 1
         # The first place of every group of equal windows.
         by = np.lexsort((start[order], doc[segment[order]], group))
+        heads = np.append(True, group[by][1:] != group[by][:-1])
+        by = order[by]
         first = np.zeros(len(order), dtype=bool)
-        first[order[by[np.append(True, group[by][1:] != group[by][:-1])]]] = True
-        later = np.flatnonzero(~first)
+        first[by[heads]] = True
+        later = by[later_places(heads, doc[segment[by]], start[by])]
         later = later[np.lexsort((start[later], doc[segment[later]]))]
         a, b = runs_of(doc[segment[later]], start[later])
         spans = [doc[segment[later[a]]], start[later[a]], start[later[b]] + size]
@@ -139,13 +141,15 @@ def remove_repeated_bytes(
     are judged on the input. Returns ``doc_id, n_bytes, n_removed, n_spans,
     kept_sha256`` and, with ``texts``, ``kept`` (bytes: a cut may split a character).
 
-    One row per row of ``docs``. A null text is empty; a null id comes after all
-    others. Texts shorter than a string lose nothing. Ids should be unique: rows
-    that repeat an id are one place, so neither counts as earlier than the other,
-    and both lose what either does. An empty table gives an empty result.
+    One row per row of ``docs``. A null text is empty; rows with a null id come
+    after all others, each in a place of its own, in the order of a digest of
+    their text. Texts shorter than a string lose nothing. Ids should be unique:
+    rows that repeat an id are one place, so equal strings at equal starts don't
+    count as earlier than each other (equal texts both stay), and all lose what
+    any of them does. An empty table gives an empty result.
     """
-    docs = keyed(docs, id_col, text_col)
+    docs, last = keyed(docs, id_col, text_col)
     spans = repeated_spans(docs, shape, repeated_windows)
-    return kept_texts(docs, spans, shape, texts).select(
+    return kept_texts(docs, spans, shape, last, texts).select(
         "doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", *["kept"] * texts
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.repeats import Shape, kept_texts, keyed, later_windows, repeated_spans
+from textlab.llm.repeats import Shape, kept_texts, keyed, later_places, later_windows, repeated_spans
 from textlab.llm.suffix_array import runs_of
 from textlab.session import written
 
@@ -65,8 +65,9 @@ def tree_repeats(segments: DataFrame, shape: Shape) -> DataFrame:
         order, depth = subtree(leaves)
         node = deep_nodes(depth, size)
         by = np.lexsort((start[order], doc[segment[order]], node))
-        again = np.append(False, node[by][1:] == node[by][:-1])
-        later = order[by[again]]
+        heads = np.append(True, node[by][1:] != node[by][:-1])
+        by = order[by]
+        later = by[later_places(heads, doc[segment[by]], start[by])]
         later = later[np.lexsort((start[later], doc[segment[later]]))]
         a, b = runs_of(doc[segment[later]], start[later])
         return pa.table({"doc": doc[segment[later[a]]], "low": start[later[a]], "high": start[later[b]] + size})
@@ -117,13 +118,15 @@ def remove_repeated_words(
     Returns ``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``,
     ``kept``, the words that are left joined by one space.
 
-    One row per row of ``docs``. A null text has no words; a null id comes after
-    all others. Texts shorter than a window lose nothing. Ids should be unique:
-    rows that repeat an id are one place, so neither counts as earlier than the
-    other, and both lose what either does. An empty table gives an empty result.
+    One row per row of ``docs``. A null text has no words; rows with a null id
+    come after all others, each in a place of its own, in the order of a digest
+    of their text. Texts shorter than a window lose nothing. Ids should be unique:
+    rows that repeat an id are one place, so equal windows at equal starts don't
+    count as earlier than each other (equal texts both stay), and all lose what
+    any of them does. An empty table gives an empty result.
     """
-    docs = keyed(docs, id_col, text_col)
+    docs, last = keyed(docs, id_col, text_col)
     spans = repeated_spans(docs, shape, repeated_windows)
-    return kept_texts(docs, spans, shape, texts).select(
+    return kept_texts(docs, spans, shape, last, texts).select(
         "doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "kept_sha256", *["kept"] * texts
     )
