@@ -3,6 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps, with
 the columns of ``docs``; the last adds how often each document is taken. Stages
 are written as Parquet and read again, so a lost executor costs one stage at most.
+Decisions are made and joined by a key that every row has for itself, so null and
+repeated ids are judged row by row.
 """
 
 from __future__ import annotations
@@ -11,45 +13,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm import decontaminate, exact, language, minhash, mixing
+from textlab.operators.ranking import positions
 from textlab.session import written
 
 #: A text is rejected if no language has so large a share of its letters.
 LEAST_SHARE = 0.4
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not listed; only ids are moved while the list is small."""
-    listed = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["_gone"]), "left_anti")
+KEY = "_row"
+LAST = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Add ``KEY``: the id where it is the only one, or the first of its rows by a hash of
+    the text; for all other rows, and rows without an id, a number after all ids.
+
+    Only rows with null or repeated ids are sorted and written.
+    """
+    docs = docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    named = docs.where(F.col(KEY).isNotNull())
+    repeated = written(named.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(KEY), "repeated")
+    found = docs.agg(F.max(KEY).alias("last"), F.count(F.lit(1)).alias("rows"), F.count(KEY).alias("named")).first()
+    some = not repeated.isEmpty()
+    if found["rows"] == found["named"] and not some:
+        return docs
+    last = -1 if found["last"] is None else found["last"]
+    odd = docs.where(F.col(KEY).isNull())
+    if some:
+        odd = odd.unionByName(named.join(repeated, KEY).select(docs.columns))
+        named = named.join(repeated, KEY, "left_anti").select(docs.columns)
+    order = [F.col(KEY).asc_nulls_last(), "_mark", "_tie"]
+    placed = positions(odd.withColumn("_mark", F.xxhash64("text")).withColumn("_tie", F.monotonically_increasing_id()), order)
+    placed = written(placed.drop("_mark", "_tie"), "placed")
+    if last + placed.count() > LAST:
+        raise ValueError("no keys are left after the greatest id")
+    own = F.col("pos") + F.lit(last + 1)
+    again = placed.where(F.col(KEY).isNotNull())
+    again = again.join(again.groupBy(KEY).agg(F.min("pos").alias("_first")), KEY)
+    again = again.withColumn(KEY, F.when(F.col("pos") == F.col("_first"), F.col(KEY)).otherwise(own))
+    nameless = placed.where(F.col(KEY).isNull()).withColumn(KEY, own)
+    return named.unionByName(again.select(docs.columns)).unionByName(nameless.select(docs.columns))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose key is not listed; only keys are moved while the list is small."""
+    listed = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(listed, docs[KEY] == listed["_gone"], "left_anti").drop(KEY)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters, and texts in which no language prevails."""
     learn = docs.where(~language.held_out(F.col("doc_id")))
-    judged = language.identify(docs, language.fit(learn))
+    docs = keyed(docs)
+    judged = language.identify(docs, language.fit(learn), id_col=KEY)
     return without(docs, judged.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE)))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the longest of texts that are equal but for white space."""
-    return without(docs, exact.exact_dedup(docs).where(~F.col("kept")))
+    docs = keyed(docs)
+    return without(docs, exact.exact_dedup(docs, id_col=KEY).where(~F.col("kept")))
 
 
 def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of near-duplicates."""
-    return without(docs, minhash.near_duplicates(docs).where(~F.col("kept")))
+    docs = keyed(docs)
+    return without(docs, minhash.near_duplicates(docs, id_col=KEY).where(~F.col("kept")))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontaminate.decontaminate(docs, benchmark).where("contaminated"))
+    docs = keyed(docs)
+    return without(docs, decontaminate.decontaminate(docs, benchmark, id_col=KEY).where("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the mix takes, with ``copies`` and ``taken`` words."""
-    plan = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies", "taken").distinct()
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).drop("_id")
+    docs = keyed(docs)
+    plan = mixing.mix_sources(docs, id_col=KEY).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies", "taken")
+    return docs.join(plan, docs[KEY] == plan["_id"]).drop("_id", KEY)
 
 
 STAGES = [

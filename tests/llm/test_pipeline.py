@@ -73,3 +73,29 @@ def test_run_returns_the_mix(spark, folder):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies", "taken"]
     text = {r[0]: r[1] for r in rows}
     assert all(r.text == text[r.doc_id] for r in out.collect())
+
+
+def test_null_and_repeated_ids_are_judged_row_by_row(spark, tmp_path):
+    rng = random.Random(22)
+    say = lambda n: " ".join(rng.choices(VOICES["aa"], k=3)) + " " + prose(rng, n)
+    item = " ".join("".join(rng.choices("bcdfgklm", k=5)) + "a" for _ in range(25))
+    named, nameless, twice = [say(40) for _ in range(12)], [say(30 + i) for i in range(6)], [say(35) for _ in range(3)]
+    near = nameless[1] + " fi"
+    leak = say(20) + " " + item + " " + say(20)
+    rows = list(enumerate(named)) + [(None, t) for t in [*nameless, "...", named[0], near, leak, nameless[2]]]
+    rows += [(50, t) for t in [*twice, "1 2", named[1]]] + [(60, nameless[3]), (60, leak + " fi")]
+    rows = [(d, t, "aa", "s", len(t)) for d, t in rows]
+    table(spark, rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    keys = [r[corpus_pipeline.KEY] for r in corpus_pipeline.keyed(docs).collect()]
+    assert len(set(keys)) == len(rows) and None not in keys
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.written(stage(spark, kept, str(tmp_path)), "stage")
+    texts = sorted(r.text for r in kept.collect())
+    want = sorted([*named, *nameless, *twice])
+    assert texts in (want, sorted([*(t for t in want if t != nameless[1]), near]))
+    assert (50, named[1]) not in {(r.doc_id, r.text) for r in kept.collect()}
+    last = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+    assert 0 < len(last) <= len(texts) and all(r.taken == r.copies * len(r.text.split()) for r in last)
