@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import decontaminate, exact, language, minhash, mixing, pii, suffix_array, suffix_tree, urls, warc
+from textlab.llm import (
+    backoff, ball_tree, decontaminate, exact, language, minhash, mixing, negatives, pii, suffix_array, suffix_tree, urls, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +131,69 @@ def op9_exact_dedup(spark, sf_dir):
 def op10_personal_data(spark, sf_dir):
     found = pii.find_personal_data(documents(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
+@query("op11_ranked_search", r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS r, doc_id, list_transform(
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms
+  FROM documents
+), docs AS (SELECT r, doc_id, terms, len(terms) AS n FROM doc_terms WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS len_docs FROM docs),
+asked AS (
+  SELECT item, item_id, term, count(*) AS qtf FROM (
+    SELECT row_number() OVER () AS item, item_id, unnest(list_transform(
+      regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+      lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark
+  ) GROUP BY ALL
+), held AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total
+), scores AS (
+  SELECT item, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+    CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // len_docs)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), total GROUP BY item, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op11_ranked_search(spark, sf_dir):
+    return ball_tree.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op12_hard_negatives", r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+), mined AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN s n ON n.anchor = p.anchor AND NOT n.same
+    AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM mined WHERE rank <= 5
+""")
+def op12_hard_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    return negatives.mine(vectors, label=F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+@query("op13_language_model")
+def op13_language_model(spark, sf_dir):
+    return backoff.score_texts(documents(spark, sf_dir))
