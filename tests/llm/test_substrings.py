@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import corpus, prose, table, words
-from textlab.llm import repeats, suffix_array, suffix_tree
+from textlab.llm import minhash, repeats, suffix_array, suffix_tree
 from textlab.llm.arrays import Anchors, Words, sliding_least
 
 
@@ -92,6 +92,38 @@ def test_repeated_and_null_ids_equal_brute_force(spark, by_word, small, monkeypa
     assert got == brute_places(rows, 20 if by_word else 100, by_word)
 
 
+@pytest.mark.parametrize("by_word", [False, True])
+@pytest.mark.parametrize("part_bytes", [1, 40, 1 << 23])
+def test_few_rows_in_many_parts(spark, by_word, part_bytes, monkeypatch):
+    """Most parts get no run."""
+    monkeypatch.setattr(repeats, "PART_BYTES", part_bytes)
+    find = suffix_tree.remove_repeated_words if by_word else suffix_array.remove_repeated_bytes
+    one = prose(random.Random(5), 40)
+    for texts in ([one], [one, one, "x " + one], ["short", None, one, one[10:], ""]):
+        rows = list(enumerate(texts))
+        got = sorted((str(r[0]), r[1], r["n_removed"], bytes(r.kept)) for r in find(table(spark, rows, "doc_id long, text string"), texts=True).collect())
+        assert got == brute_places(rows, 20 if by_word else 100, by_word)
+
+
+def thue_morse(n: int) -> list[bool]:
+    return [bool(i.bit_count() & 1) for i in range(n)]
+
+
+def test_built_words_do_not_collide(spark):
+    """A polynomial hash modulo a power of two gives both words one value, for any odd base."""
+    one = "".join("ab"[t] for t in thue_morse(2048))
+    other = "".join("ba"[t] for t in thue_morse(2048))
+    found = Words([f"{one} {other}".encode()])
+    assert found.hash[0] != found.hash[1]
+    rng = random.Random(7)
+    rows = [(1, " ".join([one] * 20)), (2, " ".join([other] * 20)), (3, one), (4, other), (5, prose(rng, 50))]
+    docs = table(spark, rows, "doc_id long, text string")
+    for find, by_word in ((suffix_tree.remove_repeated_words, True), (suffix_array.remove_repeated_bytes, False)):
+        got = sorted((str(r[0]), r[1], r["n_removed"], bytes(r.kept)) for r in find(docs, texts=True).collect())
+        assert got == brute_places(rows, 20 if by_word else 100, by_word)
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
+
+
 def test_repeated_ids_and_empty_tables(spark):
     docs = table(spark, [(1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
     assert suffix_tree.remove_repeated_words(docs).count() == 3

@@ -13,6 +13,9 @@ import numpy as np
 SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: A prime modulus and base of a second hash: modulo a power of two, some built texts collide for any base.
+_PRIME, _BASE_2 = (1 << 31) - 1, 0x2545F491
+_INVERSE_2 = pow(_BASE_2, -1, _PRIME)
 U = np.uint64
 
 
@@ -41,27 +44,50 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return of(_BASE), of(_INVERSE)
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the second base and of its inverse modulo the prime, 0 to n."""
+    def of(base: int) -> np.ndarray:
+        out = np.ones(1, dtype=U)
+        while len(out) <= n:
+            out = np.concatenate([out, out * U(pow(base, len(out), _PRIME)) % U(_PRIME)])
+        return out[: n + 1]
+
+    return of(_BASE_2), of(_INVERSE_2)
+
 
+_POWERS: list[tuple[np.ndarray, ...]] = []
 
-def cached_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def cached_powers(n: int) -> tuple[np.ndarray, ...]:
     if not _POWERS or len(_POWERS[0][0]) <= n:
-        _POWERS[:] = [powers(max(n, SLICE_BYTES + (1 << 16)))]
+        n = max(n, SLICE_BYTES + (1 << 16))
+        _POWERS[:] = [powers(n) + prime_powers(n)]
     return _POWERS[0]
 
 
 class Hashes:
-    """Hashes of any run of tokens, from prefix sums."""
+    """Hashes of any run of tokens, from prefix sums.
+
+    ``twice`` mixes in a second hash modulo a prime. It is for hashes that decide whether
+    texts are equal: modulo a power of two alone, built texts collide.
+    """
 
-    def __init__(self, tokens: np.ndarray):
-        power, self.inverse = cached_powers(len(tokens))
+    def __init__(self, tokens: np.ndarray, twice: bool = False):
+        power, self.inverse, second, self.second_inverse = cached_powers(len(tokens))
         self.sums = np.zeros(len(tokens) + 1, dtype=U)
         np.cumsum(tokens * power[: len(tokens)], out=self.sums[1:], dtype=U)
+        self.second = None
+        if twice:
+            self.second = np.zeros(len(tokens) + 1, dtype=U)
+            np.cumsum((tokens >> U(33)) * second[: len(tokens)] % U(_PRIME), out=self.second[1:], dtype=U)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of the tokens from ``start`` up to ``end``; lengths count."""
         length = (end - start).astype(U)
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + mix(length))
+        found = (self.sums[end] - self.sums[start]) * self.inverse[start] + mix(length)
+        if self.second is not None:
+            found ^= mix((self.second[end] - self.second[start]) % U(_PRIME) * self.second_inverse[start] % U(_PRIME))
+        return mix(found)
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of every ``k`` tokens in a row."""
@@ -101,7 +127,7 @@ class Words:
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.start, self.end = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.start, text_starts)
-        self.hash = Hashes(BYTES[data]).of(self.start, self.end) if len(data) else np.zeros(0, dtype=U)
+        self.hash = Hashes(BYTES[data], twice=True).of(self.start, self.end) if len(data) else np.zeros(0, dtype=U)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -134,7 +160,7 @@ class Anchors:
             self.text = self.at = self.low = self.high = none
             self.key = self.content = none.astype(U)
             return
-        hashes = Hashes(tokens)
+        hashes = Hashes(tokens, twice=True)
         grams = hashes.grams(gram)
         bits = U(max(24, n.bit_length()))
         placed = (grams >> bits << bits) | np.arange(len(grams), dtype=U)

@@ -28,6 +28,7 @@ from textlab.session import written
 
 LAST = (1 << 63) - 1  # the greatest place
 FLUSH = 1 << 17  # runs a task holds before it sends them
+PART_BYTES = 8 << 20  # of text for each part of the runs: bounds what one task compares
 SENT = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("run", "<u2")])
 SPAN = "doc long, low long, high long"
 EDGE = "doc long, at long, low long, high long, key long"
@@ -55,20 +56,26 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """``doc, text``, and the greatest id: every row with a null id has a place of its own
-    after it, in the order of a digest of the text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """``doc, text``, the greatest id and the number of parts that all runs are dealt to.
+
+    Every row with a null id has a place of its own after the greatest id, in the order of a
+    digest of the text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = docs.agg(F.max("doc").alias("last"), F.count_if(F.col("doc").isNull()).alias("nulls")).first()
+    found = docs.agg(
+        F.max("doc").alias("last"), F.count_if(F.col("doc").isNull()).alias("nulls"),
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"),
+    ).first()
     last = -1 if found["last"] is None else found["last"]
+    parts = max(1, -(-int(found["bytes"]) // PART_BYTES))
     if not found["nulls"]:
-        return docs, last
+        return docs, last, parts
     if last + found["nulls"] > LAST:
         raise ValueError("no places are left after the greatest id for rows without one")
     nameless = docs.where("doc IS NULL").select(
         "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_mark"), F.monotonically_increasing_id().alias("_tie"))
     placed = positions(nameless, ["_mark", "_tie"]).select((F.col("pos") + F.lit(last + 1)).alias("doc"), "text")
-    return docs.where("doc IS NOT NULL").unionByName(written(placed, "nameless")), last
+    return docs.where("doc IS NOT NULL").unionByName(written(placed, "nameless")), last, parts
 
 
 def anchored(docs: DataFrame, shape: Shape, parts: int) -> DataFrame:
@@ -81,11 +88,14 @@ def anchored(docs: DataFrame, shape: Shape, parts: int) -> DataFrame:
         order = np.argsort(where, kind="stable")
         runs, ends = runs[order], np.cumsum(np.bincount(where, minlength=parts))
         cuts = np.linspace(0, len(covered), parts + 1).astype(int)
-        return pa.RecordBatch.from_arrays([
-            pa.array(range(parts), pa.int32()),
-            pa.array([b"".join(part[c].tobytes() for c in SENT.names) for part in np.split(runs, ends[:-1])], pa.binary()),
-            pa.array([covered[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-        ], names=["part", "runs", "covered"])
+        some = [
+            (k, b"".join(runs[a:b][c].tobytes() for c in SENT.names), covered[low:high].tobytes())
+            for k, (a, b, low, high) in enumerate(zip(ends - np.diff(ends, prepend=0), ends, cuts[:-1], cuts[1:]))
+            if b > a or high > low
+        ]
+        columns = zip(*some) if some else ([], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["part", "runs", "covered"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, covered, held = [], [], 0
@@ -120,10 +130,10 @@ def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows with equal content, one at the first place, and all at later places; as masks.
 
     Rows that repeat an id may have more runs at the first place: they are that place."""
-    order = np.lexsort((rows["at"], rows["doc"], rows["content"]))
-    content = rows["content"][order]
+    order = np.lexsort((rows["at"], rows["doc"], rows["key"], rows["content"]))
+    content, key = rows["content"][order], rows["key"][order]
     new = np.ones(len(rows), dtype=bool)
-    new[1:] = content[1:] != content[:-1]
+    new[1:] = (content[1:] != content[:-1]) | (key[1:] != key[:-1])
     first, later = np.empty(len(rows), dtype=bool), np.empty(len(rows), dtype=bool)
     first[order], later[order] = new, later_places(new, rows["doc"][order], rows["at"][order])
     return first, later
@@ -153,7 +163,7 @@ def compared(sent: DataFrame, shape: Shape) -> DataFrame:
         order = np.argsort(rows["key"], kind="stable")
         key = rows["key"][order]
         same = key[1:] == key[:-1]
-        rows = rows[order[np.append(same, False) | np.append(False, same)]]
+        rows = rows[order[(np.append(same, False) | np.append(False, same))[:len(order)]]]
         first, later = firsts(rows)
         covered = spans_of(rows[later], size)
         rows = rows[first]
@@ -224,13 +234,13 @@ def later_windows(windows: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, shape: Shape, decide: Callable[[DataFrame, Shape], DataFrame], parts: int | None = None
+    docs: DataFrame, shape: Shape, decide: Callable[[DataFrame, Shape], DataFrame], parts: int
 ) -> DataFrame:
     """``doc, low, high``: what windows that also start earlier cover, in tokens.
 
-    ``decide`` finds the windows of segments that also start earlier.
+    ``decide`` finds the windows of segments that also start earlier. Runs are dealt to
+    ``parts`` by the hash of their anchor.
     """
-    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialised(compared(anchored(docs, shape, parts), shape), "runs")
     edges = found.where("key IS NOT NULL")
     segments = materialised(fetched(docs, edges, shape), "segments")

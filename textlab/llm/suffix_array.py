@@ -148,8 +148,8 @@ def remove_repeated_bytes(
     count as earlier than each other (equal texts both stay), and all lose what
     any of them does. An empty table gives an empty result.
     """
-    docs, last = keyed(docs, id_col, text_col)
-    spans = repeated_spans(docs, shape, repeated_windows)
+    docs, last, parts = keyed(docs, id_col, text_col)
+    spans = repeated_spans(docs, shape, repeated_windows, parts)
     return kept_texts(docs, spans, shape, last, texts).select(
         "doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", *["kept"] * texts
     )
