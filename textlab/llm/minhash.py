@@ -36,6 +36,7 @@ SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS = 32, 4  # a pair at the threshold misses every band with probability 5e-6
 BATCH, MISS = 16, 1e-9  # hashes compared at a time; probability of giving up a pair that is similar enough
 CENTRES = 8  # each round has so many times the centres of the one before
+PART_SHINGLES = 1 << 20  # shingles that one task counts, at most
 MANY = -(1 << 63)  # stands for more than one document
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -221,7 +222,8 @@ def near_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ``classes``: ``doc, n_shingles, signature, bands`` of one document per set.
     """
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-int(total) // PART_SHINGLES))
     members = classes.select("doc", F.posexplode("bands").alias("band", "key")).select(
         "doc", F.xxhash64("band", "key").alias("bucket")
     )
