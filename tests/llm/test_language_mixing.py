@@ -58,6 +58,22 @@ def test_viterbi_is_optimal():
                 assert own == pytest.approx(best.max())
 
 
+def test_viterbi_with_many_languages():
+    scores = np.full((300, 200), -5, np.float32)
+    scores[:, 199] = 0
+    scores[150:, 199], scores[150:, 130] = -5, 0
+    labels = language.viterbi(scores, np.array([0, 300]), 2.5)
+    assert labels.tolist() == [199] * 150 + [130] * 150
+
+
+def test_signs_that_are_no_letters(spark):
+    rows = [(1, "ba bo ba " * 20, "aa"), (2, "² ½ ³ 12", None), (3, "²ba½bo ³", None), (4, "ⅷ ①", None), (5, None, None)]
+    docs = table(spark, rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.fit(docs)).collect()}
+    assert got == {1: ("aa", 1.0), 2: ("und", 0.0), 3: ("aa", 1.0), 4: ("und", 0.0), 5: ("und", 0.0)}
+    assert language.words_of("²Ba½bo ³ x") == ["ba", "bo", "x"]
+
+
 def water_level(sizes, weights, most=3.0):
     """Targets by sharing the excess again and again."""
     total, capped = sum(sizes.values()), {}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.arrays import BYTES, U, Hashes, slices
+from textlab.llm.arrays import BYTES, SLICE_BYTES, U, Hashes, slices
 from textlab.llm.batches import materialised
 from textlab.operators.ranking import hash_cutoffs
 
@@ -27,9 +27,9 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)  # of UTF-8 bytes, with a space on both sides
 SMOOTHING = 0.5
 SWITCH = 6.0  # log-odds a word must bring to change the language
-BLOCK = 32
+WORK = 8 << 20  # bytes of text times languages that are followed together
 UNKNOWN = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")  # also of numbers that are no digits, such as fractions
 #: First code points of Unicode's ranges of letters, and the script from there on.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -57,7 +57,13 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """Runs of letters in lower case; signs of numbers that are no digits end a word."""
+    if not text:
+        return []
+    found = WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,62 +147,31 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     """The best language of every word: least loss, where each change costs ``switch``.
 
-    ``first``: index of each text's first word, and the end. Texts are cut into
-    blocks; the best ways through all blocks, from every language, are found
-    together, then the languages between blocks, then the way inside of each.
+    ``first``: index of each text's first word, and the end. All texts are followed
+    together, word by word, the longest first; what is kept grows with words times languages.
     """
     langs, lengths = scores.shape[1], np.diff(first)
-    blocks = -(-lengths // BLOCK)
-    block_first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
-    total = int(block_first[-1])
-    text_of = np.repeat(np.arange(len(lengths)), blocks)
-    start = first[:-1][text_of] + (np.arange(total) - block_first[text_of]) * BLOCK
-    size = np.minimum(BLOCK, first[1:][text_of] - start)
-    # Padding after the last word has score 0 for all languages and changes nothing.
-    padded = np.zeros((BLOCK, langs, total), dtype=np.float32)
-    for i in range(BLOCK):
-        some = size > i
-        padded[i][:, some] = scores[start[some] + i].T
-    # ways[to, since]: best score through a block.
-    ways = np.full((langs, langs, total), -np.inf, dtype=np.float32)
-    ways[range(langs), range(langs)] = 0
-    for i in range(BLOCK):
-        ways = np.maximum(ways, ways.max(axis=0) - np.float32(switch)) + padded[i][:, None, :]
-    # Block after block, for all texts together, longest first.
-    order = np.argsort(-blocks, kind="stable")
-    best = np.zeros((langs, len(lengths)), dtype=np.float32)
-    came = np.zeros((langs, total), dtype=np.int8)
-    deepest = int(blocks.max(initial=0))
-    alive = [order[: int(np.searchsorted(-blocks[order], -k, side="left"))] for k in range(deepest)]
-    for k, texts in enumerate(alive):
-        at = block_first[texts] + k
-        through = best[:, texts][None, :, :] + ways[:, :, at]
-        came[:, at] = through.argmax(axis=1)
-        best[:, texts] = through.max(axis=1)
-    state = best.argmax(axis=0) if len(lengths) else np.zeros(0, dtype=np.int64)
-    enter, leave = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
-    for k in reversed(range(deepest)):
-        texts = alive[k]
-        at = block_first[texts] + k
-        leave[at] = state[texts]
-        enter[at] = came[state[texts], at]
-        state[texts] = enter[at]
-    # Inside: forwards from the known language, then backwards.
-    value = np.full((langs, total), -np.inf, dtype=np.float32)
-    every = np.arange(total)
-    value[enter, every] = 0
-    back = np.zeros((BLOCK, langs, total), dtype=np.int8)
-    own = np.arange(langs, dtype=np.int8)[:, None]
-    for i in range(BLOCK):
-        change = value.max(axis=0) - np.float32(switch)
-        back[i] = np.where(value >= change, own, value.argmax(axis=0).astype(np.int8))
-        value = np.maximum(value, change) + padded[i]
+    order = np.argsort(-lengths, kind="stable")
+    starts = first[:-1][order]
+    alive = len(lengths) - np.cumsum(np.bincount(lengths))  # texts with a word at each place
+    value = np.zeros((len(order), langs), dtype=np.float32)
+    changed = np.zeros(scores.shape, dtype=bool)
+    top = np.zeros(len(scores), dtype=np.int32)
+    rows = np.arange(len(order))
+    for place, k in enumerate(alive.tolist()):
+        at, here = starts[:k] + place, value[:k]
+        best = here.argmax(axis=1)
+        change = (here[rows[:k], best] - np.float32(switch))[:, None]
+        changed[at], top[at] = here < change, best
+        np.maximum(here, change, out=here)
+        here += scores[at]
     out = np.zeros(len(scores), dtype=np.int64)
-    here = leave
-    for i in reversed(range(BLOCK)):
-        some = size > i
-        out[start[some] + i] = here[some]
-        here = back[i][here, every].astype(np.int64)
+    state = value.argmax(axis=1)
+    for place in range(len(alive) - 1, -1, -1):
+        k = alive[place]
+        at, here = starts[:k] + place, state[:k]
+        out[at] = here
+        state[:k] = np.where(changed[at, here], top[at], here)
     return out
 
 
@@ -222,7 +197,7 @@ def identify(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             predicted, score, parts = [], [], []
-            for a, b in slices([len(t or "") for t in texts]):
+            for a, b in slices([len(t or "") for t in texts], min(4 * SLICE_BYTES, WORK // max(1, len(languages)))):
                 found = [words_of(t) if len(languages) else [] for t in texts[a:b]]
                 first = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
                 numbers: dict[str, int] = {}
@@ -258,7 +233,9 @@ def identify(
     fields += ["lang_pred string", "score double"]
     fields += ["spans array<struct<lang: string, first: int, words: int>>"] * spans
     names = [f.split(" ")[0] for f in fields]
-    return materialised(chosen.mapInArrow(label, ", ".join(fields)), "languages")
+    found = materialised(chosen.mapInArrow(label, ", ".join(fields)), "languages")
+    shared.destroy()
+    return found
 
 
 def held_out(doc_id, folds: int = 5):
