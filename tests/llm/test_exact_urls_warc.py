@@ -34,6 +34,11 @@ def test_chunks_make_up_the_text_and_ambiguous_names_do_not_merge(spark):
     assert [b"onetwo"] in [list(map(bytes, r)) for r in named.values()]
 
 
+def test_exact_dedup_of_the_least_and_greatest_ids(spark):
+    rows = [(d, "same", "", "", 0) for d in (-2**63, 2**63 - 1, -1, 0, None)]
+    assert {(r.doc_id, r.keep_id) for r in exact.exact_dedup(table(spark, rows)).collect()} == {(r[0], -2**63) for r in rows}
+
+
 def test_exact_dedup_of_an_empty_table(spark):
     assert exact.exact_dedup(table(spark, [])).count() == 0
 
@@ -44,6 +49,14 @@ URLS = ["http://A.Example.NET/en/x", "https://example.net/e", "ftp://x.org/fr/1?
         "x.net/", None, "", "://net/", "http://b.net?x/", "http://b.net/?x", "http://notexample.com/de/", "http://é.net/ü#"]
 
 
+def test_a_host_of_very_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 16_000 + "example.com/de/x"), (2, "http://" + "a." * 16_000)], "page_id long, url string")
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, listed).collect()}
+    assert got == {1: ("example.com/de/", "block"), 2: (None, "allow")}
+    assert urls.filter_urls(pages.limit(0), listed).count() == 0
+
+
 @pytest.mark.parametrize("rules", [RULES, []])
 def test_urls_equal_brute_force(spark, rules):
     pages = spark.createDataFrame([(i % 11, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, host string")

@@ -82,11 +82,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Two contents of one SHA-256 digest: none are known, so this list stays empty at any size.
     ambiguous = [bytes(r.chunk_id) for r in ambiguous_ids(docs).collect()]
     listed = written(recipes(docs, ambiguous), "recipes")
-    # The longest first, then the smallest id: negated, for the largest struct of both.
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("negative"))).alias("best")
+    # The longest first, then the smallest id, null last: with all bits turned, ids fall as they grew.
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("turned"))).alias("best")
     groups = written(
         listed.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
-        .select("recipe", (-F.col("best.negative")).alias("keep_id"), "group_size"), "groups",
+        .select("recipe", F.bitwise_not("best.turned").alias("keep_id"), "group_size"), "groups",
     )
     # Groups are unique, so adaptive execution can split a group that holds a large share of all rows.
     return listed.join(groups, "recipe").select(

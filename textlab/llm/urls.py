@@ -27,9 +27,9 @@ def canonical(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, upper, lower), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and the hosts above it: ``a.b.c`` gives ``a.b.c``, ``b.c`` and ``c``."""
-    labels = F.split(host, r"\.")
+def host_suffixes(host: Column, most: int) -> Column:
+    """The host and the hosts above it, of at most ``most`` labels: ``a.b.c`` gives ``a.b.c``, ``b.c`` and ``c``."""
+    labels = F.split(F.substring_index(host, ".", -most), r"\.")
     n = F.size(labels)
     return F.transform(
         F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + F.lit(1)), ".")
@@ -62,10 +62,12 @@ def filter_urls(
     # The lengths that rule paths have: at most as many as the longest path has characters.
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
+    # No longer end of a host than the longest rule's can match.
+    labels = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1)).alias("n")).first()["n"]
     # A judgement depends on host and path only, so each such pair is looked up once.
     distinct = parsed.where("host <> ''").select("host", "path").distinct()
     probes = (
-        distinct.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("rule_host"))
+        distinct.select("host", "path", F.explode(host_suffixes(F.col("host"), labels)).alias("rule_host"))
         .where("rule_host <> ''")
         .select("host", "path", "rule_host", F.explode(fitting).alias("_length"))
         .select("host", "path", "rule_host", F.substr("path", F.lit(1), "_length").alias("rule_path"))
