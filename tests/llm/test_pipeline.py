@@ -14,8 +14,8 @@ from tests.llm.test_near_duplicates import shingles
 
 def test_every_operator_has_a_query():
     numbers = [int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in queries()) if m]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in queries()
-    assert {"op6_warc", "op7_url_filter", "op9_exact_dedup"} <= oracle_sql().keys()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in queries()
+    assert {"op6_warc", "op7_url_filter", "op9_exact_dedup", "op11_ranked_search", "op12_hard_negatives"} <= oracle_sql().keys()
     assert len(corpus_pipeline.STAGES) == 5
 
 
@@ -75,6 +75,21 @@ def test_run_returns_the_mix(spark, folder):
     assert all(r.text == text[r.doc_id] for r in out.collect())
 
 
+def test_columns_of_any_name_and_kind(spark, folder):
+    path, rows, *_ = folder
+    names = ["key", "row", "Copies", "taken", "pos", "first", "mark", "gone", "id", "size", "_row"]
+    docs = table(spark, rows, SCHEMA)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, docs.doc_id + i)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs_out = corpus_pipeline.written(stage(spark, docs, path), "stage")
+        assert docs_out.columns == docs.columns and docs_out.where("key <> doc_id OR `_row` <> doc_id + 10").isEmpty()
+        docs = docs_out
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    assert last.columns == [c for c in docs.columns if c not in ("Copies", "taken")] + ["copies", "taken"]
+    assert last.where("pos <> doc_id + 4 OR taken < copies").isEmpty()
+
+
 def test_null_and_repeated_ids_are_judged_row_by_row(spark, tmp_path):
     rng = random.Random(22)
     say = lambda n: " ".join(rng.choices(VOICES["aa"], k=3)) + " " + prose(rng, n)
