@@ -20,19 +20,20 @@ from textlab.session import written
 LEAST_SHARE = 0.4
 
 
-KEY = "_row"
+KEY, ROW = "key", "row"
 LAST = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Add ``KEY``: the id where it is the only one, or the first of its rows by a hash of
-    the text; for all other rows, and rows without an id, a number after all ids.
+    """``key, row``: every document as a struct, whatever its columns are called, with its key.
 
-    Only rows with null or repeated ids are sorted and written.
+    The key is the id where it is the only one, or the first of its rows by a hash of the
+    text; for all other rows, and rows without an id, a number after all ids. Only rows
+    with null or repeated ids are sorted and written.
     """
-    docs = docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias(KEY), F.struct("*").alias(ROW))
     named = docs.where(F.col(KEY).isNotNull())
-    repeated = written(named.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(KEY), "repeated")
+    repeated = written(named.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(KEY), "repeated")
     found = docs.agg(F.max(KEY).alias("last"), F.count(F.lit(1)).alias("rows"), F.count(KEY).alias("named")).first()
     some = not repeated.isEmpty()
     if found["rows"] == found["named"] and not some:
@@ -40,59 +41,66 @@ def keyed(docs: DataFrame) -> DataFrame:
     last = -1 if found["last"] is None else found["last"]
     odd = docs.where(F.col(KEY).isNull())
     if some:
-        odd = odd.unionByName(named.join(repeated, KEY).select(docs.columns))
-        named = named.join(repeated, KEY, "left_anti").select(docs.columns)
-    order = [F.col(KEY).asc_nulls_last(), "_mark", "_tie"]
-    placed = positions(odd.withColumn("_mark", F.xxhash64("text")).withColumn("_tie", F.monotonically_increasing_id()), order)
-    placed = written(placed.drop("_mark", "_tie"), "placed")
+        odd = odd.unionByName(named.join(repeated, KEY).select(KEY, ROW))
+        named = named.join(repeated, KEY, "left_anti").select(KEY, ROW)
+    order = [F.col(KEY).asc_nulls_last(), "mark", "tie"]
+    placed = positions(odd.withColumn("mark", F.xxhash64("row.text")).withColumn("tie", F.monotonically_increasing_id()), order)
+    placed = written(placed.drop("mark", "tie"), "placed")
     if last + placed.count() > LAST:
         raise ValueError("no keys are left after the greatest id")
     own = F.col("pos") + F.lit(last + 1)
     again = placed.where(F.col(KEY).isNotNull())
-    again = again.join(again.groupBy(KEY).agg(F.min("pos").alias("_first")), KEY)
-    again = again.withColumn(KEY, F.when(F.col("pos") == F.col("_first"), F.col(KEY)).otherwise(own))
+    again = again.join(again.groupBy(KEY).agg(F.min("pos").alias("first")), KEY)
+    again = again.withColumn(KEY, F.when(F.col("pos") == F.col("first"), F.col(KEY)).otherwise(own))
     nameless = placed.where(F.col(KEY).isNull()).withColumn(KEY, own)
-    return named.unionByName(again.select(docs.columns)).unionByName(nameless.select(docs.columns))
+    return named.unionByName(again.select(KEY, ROW)).unionByName(nameless.select(KEY, ROW))
+
+
+def read(docs: DataFrame, *columns: str) -> DataFrame:
+    """The key, text and some more columns of keyed documents, for an operator."""
+    return docs.select(KEY, "row.text", *(f"row.{c}" for c in columns))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose key is not listed; only keys are moved while the list is small."""
-    listed = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(listed, docs[KEY] == listed["_gone"], "left_anti").drop(KEY)
+    listed = written(gone.select(F.col("doc_id").alias("gone")), "gone")
+    return docs.join(listed, docs[KEY] == listed["gone"], "left_anti").select("row.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters, and texts in which no language prevails."""
-    learn = docs.where(~language.held_out(F.col("doc_id")))
+    learn = docs.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     docs = keyed(docs)
-    judged = language.identify(docs, language.fit(learn), id_col=KEY)
+    judged = language.identify(read(docs), language.fit(learn), id_col=KEY)
     return without(docs, judged.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE)))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the longest of texts that are equal but for white space."""
     docs = keyed(docs)
-    return without(docs, exact.exact_dedup(docs, id_col=KEY).where(~F.col("kept")))
+    return without(docs, exact.exact_dedup(read(docs), id_col=KEY).where(~F.col("kept")))
 
 
 def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of near-duplicates."""
     docs = keyed(docs)
-    return without(docs, minhash.near_duplicates(docs, id_col=KEY).where(~F.col("kept")))
+    return without(docs, minhash.near_duplicates(read(docs), id_col=KEY).where(~F.col("kept")))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = keyed(docs)
-    return without(docs, decontaminate.decontaminate(docs, benchmark, id_col=KEY).where("contaminated"))
+    return without(docs, decontaminate.decontaminate(read(docs), benchmark, id_col=KEY).where("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the mix takes, with ``copies`` and ``taken`` words."""
+    """Documents the mix takes, with ``copies`` and ``taken`` words in place of columns so named."""
+    kept = [f"row.`{c}`" for c in docs.columns if c.lower() not in ("copies", "taken")]
     docs = keyed(docs)
-    plan = mixing.mix_sources(docs, id_col=KEY).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies", "taken")
-    return docs.join(plan, docs[KEY] == plan["_id"]).drop("_id", KEY)
+    plan = mixing.mix_sources(read(docs, "source"), id_col=KEY).where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("id"), "copies", "taken")
+    return docs.join(plan, docs[KEY] == plan["id"]).select(*kept, "copies", "taken")
 
 
 STAGES = [
