@@ -16,7 +16,9 @@ answers are all that a chunk's share of the automaton is built from.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -62,16 +64,21 @@ def unpack_text(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of keys, of equal width."""
+    return ((key >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
 def chunk_row(number: int, docs: list, learn: list, held: list, texts: list[bytes]) -> pa.RecordBatch:
     """A chunk's documents as numbers of its own words, the most frequent first."""
-    known: dict[bytes, int] = {}
-    tokens, sizes = [], []
+    known: dict[bytes, int] = defaultdict(count().__next__)
+    parts, sizes = [], []
     for text in texts:
         words = text.translate(LOWER).split()
-        tokens.extend([known.setdefault(w, len(known)) for w in words])
-        tokens.append(known.setdefault(END, len(known)))
-        sizes.append(len(words) + 1)
-    tokens = np.array(tokens, np.int64)
+        words.append(END)
+        parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        sizes.append(len(words))
+    tokens = np.concatenate(parts)
     order = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -105,8 +112,18 @@ def chunked(docs: DataFrame) -> DataFrame:
     return materialised(docs.mapInArrow(cut, CHUNK), "chunks")
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted order of numbers, where groups of equal ones begin in it, and the group of every number."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[:len(order)]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), group
+
+
 class Chunk:
-    """A chunk and the order in which it asks: words and pairs by part, pairs by key."""
+    """A chunk and the order in which it asks: words by part, pairs by key, whose first bits are the part."""
 
     def __init__(self, row: dict, parts: int):
         self.doc, self.tokens, self.sizes = row["doc"], unpack(row["tokens"]), unpack(row["sizes"])
@@ -114,23 +131,23 @@ class Chunk:
         self.words = unpack_text(row["words"]).split(b" ")
         n = len(self.words)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        # A text begins in the state that the end of another has reached.
-        before[self.starts] = self.words.index(END)
+        # The state in which every token is read: the token before it. A text begins in the
+        # state that the end of another has reached.
+        state = np.empty_like(self.tokens)
+        state[1:] = self.tokens[:-1]
+        state[self.starts] = self.words.index(END)
         learnt = np.repeat(self.learn, self.sizes)
-        code = before * n + self.tokens
-        self.code = np.unique(code)  # pairs as numbers of the chunk
-        seen, times = np.unique(code[learnt], return_counts=True)
-        counts = np.zeros(len(self.code), np.int64)
-        counts[np.searchsorted(self.code, seen)] = times
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], U)
-        key = mix(mix(hashes)[self.code // n] + hashes[self.code % n])
-        part = ((key >> U(40)) % U(parts)).astype(np.int64)
-        self.order = np.lexsort((key, part))
+        code = state * n + self.tokens
+        order, first, self.pair = grouped(code)
+        code = code[order[first]]  # of every different pair
+        self.state, self.word = code // n, code % n
+        counts = np.add.reduceat(learnt[order].astype(np.int64), first)
+        hashes = mix(np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], U))
+        key = mix(mix(hashes)[self.state] + hashes[self.word])
+        self.order = np.argsort(key)
         self.key, self.pair_counts = key[self.order], counts[self.order]
-        self.pair_ends = np.searchsorted(part[self.order], np.arange(parts), "right")
-        part = ((mix(hashes) >> U(40)) % U(parts)).astype(np.int64)
+        self.pair_ends = np.searchsorted(part_of(self.key, parts), np.arange(parts), "right")
+        part = part_of(hashes, parts)
         self.word_order = np.argsort(part, kind="stable")
         self.word_counts = np.bincount(self.tokens[learnt], minlength=n)[self.word_order]
         self.word_ends = np.searchsorted(part[self.word_order], np.arange(parts), "right")
@@ -171,11 +188,10 @@ def answer(table: pa.Table) -> pa.Table:
     n_words = [pack(np.array([total[w] for w in some or ()], np.int64)) for some in words]
     keys = [np.cumsum(unpack(x).view(U), dtype=U) for x in table.column("pairs").to_pylist()]
     times = np.concatenate([unpack(x) for x in table.column("n_pairs").to_pylist()])
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.zeros(inverse.max(initial=-1) + 1, np.int64)
-    np.add.at(sums, inverse, times)
+    order, first, group = grouped(np.concatenate(keys))
+    sums = np.add.reduceat(times[order], first) if len(order) else times
     ends = np.cumsum([len(k) for k in keys])
-    n_pairs = [pack(x) for x in np.split(sums[inverse], ends[:-1])]
+    n_pairs = [pack(x) for x in np.split(sums[group], ends[:-1])]
     rest = [0] * (table.num_rows - 1)
     return pa.table({
         "part": table.column("part"), "chunk": table.column("chunk"),
@@ -188,42 +204,30 @@ def answer(table: pa.Table) -> pa.Table:
 class Automaton:
     """The states and arcs that a chunk can reach. State and word numbers are the chunk's."""
 
-    def __init__(self, words: np.ndarray, codes: np.ndarray, pairs: np.ndarray, tokens: int, types: int, prior: float):
-        self.n = len(words)
-        single = (words + 0.5) / (tokens + 0.5 * (types + 1))
-        self.root = np.log10(single)
-        self.back = np.log10(prior / (words + prior)).tolist()
-        seen = pairs > 0
-        state, word = codes[seen] // self.n, codes[seen] % self.n
-        weight = np.log10((pairs[seen] + prior * single[word]) / (words[state] + prior))
-        self.arcs = dict(zip(codes[seen].tolist(), weight.tolist()))
-
-    def scores(self, tokens: np.ndarray, sizes: np.ndarray, start: int) -> list[float]:
-        """The log-probability of every text, each from the state ``start``."""
-        arc, back, root, n = self.arcs.get, self.back, self.root.tolist(), self.n
-        out, at = [], 0
-        for size in sizes.tolist():
-            state, total = start, 0.0
-            for word in tokens[at:at + size].tolist():
-                weight = arc(state * n + word)
-                if weight is None:  # the failure arc to the root, and its arc for the word
-                    weight = back[state] + root[word]
-                total += weight
-                state = word
-            out.append(total)
-            at += size
-        return out
+    def __init__(self, words: np.ndarray, state: np.ndarray, word: np.ndarray, pairs: np.ndarray, tokens: int, types: int, prior: float):
+        self.root = np.log10((words + 0.5) / (tokens + 0.5 * (types + 1)))
+        self.back = np.log10(prior / (words + prior))
+        # For each state and word: the arc of a seen pair, else the failure arc to the root and its arc for the word.
+        arc = np.log10((pairs + prior * 10 ** self.root[word]) / (words[state] + prior))
+        self.step = np.where(pairs > 0, arc, self.back[state] + self.root[word])
+
+    def scores(self, pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The log-probability of every text: the weights of its steps, added up from left to right.
+
+        A step leads into the state of the word it reads, so the states that a traversal
+        carries through the texts are known, and one pass takes the steps of them all."""
+        return np.add.reduceat(self.step[pair], starts)
 
 
 def scored(chunks: DataFrame, answers: DataFrame, parts: int, tokens: int, types: int, prior: float) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left.to_pylist()[0], parts)
         by_part = right.sort_by("part")
-        words, pairs = (np.zeros(n, np.int64) for n in (len(chunk.words), len(chunk.code)))
+        words, pairs = (np.zeros(n, np.int64) for n in (len(chunk.words), len(chunk.state)))
         words[chunk.word_order] = np.concatenate([unpack(x) for x in by_part.column("n_words").to_pylist()])
         pairs[chunk.order] = np.concatenate([unpack(x) for x in by_part.column("n_pairs").to_pylist()])
-        automaton = Automaton(words, chunk.code, pairs, tokens, types, prior)
-        found = automaton.scores(chunk.tokens, chunk.sizes, chunk.words.index(END))
+        automaton = Automaton(words, chunk.state, chunk.word, pairs, tokens, types, prior)
+        found = automaton.scores(chunk.pair, chunk.starts)
         rows = len(chunk.sizes)
         return pa.table({
             "doc_id": pa.array(chunk.doc, pa.int64()), "held_out": pa.array(chunk.held_out), "n_tokens": pa.array(chunk.sizes),
