@@ -27,7 +27,7 @@ SCALE = 256
 BLOCK_ANCHORS = 1_024  # anchors joined at once: bounds what tasks are sent
 SAMPLE = 4_096  # rows from which the first thresholds are read; results don't depend on them
 PAIRS = 1 << 20  # of anchors and rows that a task holds partial scores of
-GROUP = 8  # neighbouring dimensions whose postings are worked on together
+GROUP = 16  # neighbouring dimensions whose postings are worked on together
 SPARSE = 0.05  # share of pairs left at which they are followed one by one
 NOTHING = np.iinfo(np.int64).max  # a threshold that no score reaches
 LEAST, MOST = -(1 << 63), (1 << 63) - 1  # of a long
@@ -96,13 +96,13 @@ def reaching(anchors: Vectors, rest: np.ndarray, rows: Vectors, least: np.ndarra
     groups = left.shape[1] - 1
     least = least.astype(np.float64)
     low = least - np.abs(least) * 1e-9 - 1e-3
-    error = 1e-9 * np.multiply.outer(rest[:, 0], left[:, 0]) + 1e-3  # of partial scores
+    error = 1e-9 * rest[:, 0].max(initial=0) * left[:, 0].max(initial=0) + 1e-3  # of partial scores
     # Postings end where no anchor's threshold can be reached with what is left.
     with np.errstate(divide="ignore", invalid="ignore"):
         share = np.where(rest[:, 0] > 0, low / rest[:, 0], np.where(low > 0, np.inf, -np.inf))
     share = share.min(initial=np.inf)
     indexed = (left[:, :-1] >= share).sum(axis=1) if share > 0 else np.full(len(left), groups)
-    alive = wanted & (np.multiply.outer(rest[:, 0], left[:, 0]) + error >= low[:, None])
+    alive = wanted & (np.multiply.outer(rest[:, 0], left[:, 0]) >= low[:, None] - error)
     if share > 0:
         alive &= indexed > 0
     gathered = np.zeros(alive.shape)
@@ -116,10 +116,13 @@ def reaching(anchors: Vectors, rest: np.ndarray, rows: Vectors, least: np.ndarra
                 i, k = np.nonzero(alive)
                 partial = gathered[i, k]
             else:
-                posted = np.flatnonzero((indexed > g) & alive.any(axis=0))
-                gathered[:, posted] += anchors.v[:, dims].astype(np.float64) @ rows.v[posted, dims].astype(np.float64).T
-                more = np.multiply.outer(rest[:, g + 1], left[posted, g + 1])
-                alive[:, posted] &= gathered[:, posted] + more + error[:, posted] >= low[:, None]
+                posted = np.flatnonzero(indexed > g)
+                posted = slice(None) if len(posted) == len(left) else posted
+                scored = anchors.v[:, dims].astype(np.float64) @ rows.v[posted, dims].astype(np.float64).T
+                scored += gathered[:, posted]
+                gathered[:, posted] = scored
+                scored += np.multiply.outer(rest[:, g + 1], left[posted, g + 1])
+                alive[:, posted] &= scored >= low[:, None] - error
                 continue
         if not len(i):
             break
@@ -127,7 +130,7 @@ def reaching(anchors: Vectors, rest: np.ndarray, rows: Vectors, least: np.ndarra
         a, b = i[posted], k[posted]
         partial[posted] += np.einsum("ij,ij->i", anchors.v[a, dims].astype(np.float64), rows.v[b, dims].astype(np.float64))
         stays = np.ones(len(i), bool)
-        stays[posted] = partial[posted] + rest[a, g + 1] * left[b, g + 1] + error[a, b] >= low[a]
+        stays[posted] = partial[posted] + rest[a, g + 1] * left[b, g + 1] >= low[a] - error
         i, k, partial = i[stays], k[stays], partial[stays]
     if i is None:
         i, k = np.nonzero(alive)
