@@ -9,12 +9,19 @@ block_rows`` rows per side: the comparisons of an exact search are quadratic, an
 larger blocks buy fewer copies with memory. Copies of a vector are collapsed
 first: each keeps its ``k + 1`` smallest ids, which is all that the copies can
 contribute.
+
+Vectors are arrays, or sparse rows (a struct ``terms, weights``). Blocks of sparse
+rows are compared through an inverted index of the points: a query's terms are
+read by falling weight until what is left of its norm cannot lift another point
+among the ``k`` nearest, and only points that can still be among them are measured.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +69,109 @@ def _search(k: int):
     return run
 
 
+class SparseBlock:
+    """Sparse rows of a task: entries ``first[i]:first[i + 1]`` belong to row ``i``."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table.column("rep").to_numpy()
+        vectors = table.column("vector").combine_chunks()
+        if isinstance(vectors, pa.ChunkedArray):  # an empty table
+            vectors = pa.concat_arrays(vectors.chunks or [pa.array([], vectors.type)])
+        terms, weights = (pa.compute.struct_field(vectors, i) for i in (0, 1))
+        offsets = terms.offsets.to_numpy()
+        self.first = (offsets - offsets[:1]).astype(np.int64) if len(offsets) else np.zeros(1, np.int64)
+        self.term, self.weight = terms.flatten().to_numpy(), weights.flatten().to_numpy()
+        sums = np.concatenate([[0.0], np.cumsum(self.weight**2)])
+        self.squares = sums[self.first[1:]] - sums[self.first[:-1]]
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.first[i], self.first[i + 1])
+        return self.term[part], self.weight[part]
+
+
+class SparseIndex:
+    """Points by term, and exact distances to some of them."""
+
+    def __init__(self, points: SparseBlock):
+        self.points = points
+        self.size = int(points.term.max(initial=-1)) + 1
+        order = np.argsort(points.term, kind="stable")
+        self.start = np.searchsorted(points.term[order], np.arange(self.size + 1))
+        self.row = np.repeat(np.arange(len(points.ids)), np.diff(points.first))[order]
+        self.weight = points.weight[order]
+        self.place = np.full(self.size, -1)
+
+    def candidates(self, term: np.ndarray, weight: np.ndarray, own: int, k: int) -> tuple[np.ndarray, int]:
+        """Points that may be among the ``k`` nearest but the one with id ``own``, and how many terms were read.
+
+        Weights are not negative, so partial products only grow. Of points, the greatest
+        ``2 x.y - y.y`` are nearest; the ``k``-th greatest partial one is a lower bound of the
+        last that counts.
+        """
+        squares = self.points.squares
+        others = self.points.ids != own
+        if others.sum() <= k:
+            return np.flatnonzero(others), 0
+        norms, order = np.sqrt(squares), np.argsort(-weight, kind="stable")
+        left = np.sqrt(np.append(np.cumsum((weight**2)[order][::-1])[::-1], 0.0))
+        gathered = np.zeros(len(squares))
+        slack = 1e-9 * (1.0 + squares.max(initial=0.0) + (weight**2).sum())
+        for read, at in enumerate(order, 1):
+            if term[at] < self.size:
+                part = slice(self.start[term[at]], self.start[term[at] + 1])
+                gathered[self.row[part]] += weight[at] * self.weight[part]
+            if read % 8 == 0 or read == len(order):
+                value = np.where(others, 2 * gathered - squares, -np.inf)
+                last = np.partition(value, len(value) - k)[len(value) - k]
+                possible = value + 2 * left[read] * norms >= last - slack
+                if possible.sum() <= 4 * k or read == len(order):
+                    return np.flatnonzero(possible & others), read
+        value = np.where(others, -squares, -np.inf)
+        last = np.partition(value, len(value) - k)[len(value) - k]
+        return np.flatnonzero(value >= last - slack), 0
+
+    def distances(self, term: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distances as sums of squares over the union of both supports: nothing cancels out."""
+        sizes = self.points.first[rows + 1] - self.points.first[rows]
+        of = np.repeat(np.arange(len(rows)), sizes)
+        entry = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.points.first[rows][of]
+        known = term < self.size
+        self.place[term[known]] = np.flatnonzero(known)
+        where, value = self.place[self.points.term[entry]], self.points.weight[entry]
+        self.place[term[known]] = -1
+        dense = np.zeros((len(rows), len(term)))
+        hit = where >= 0
+        dense[of[hit], where[hit]] = value[hit]
+        total = ((weight[None, :] - dense) ** 2).sum(axis=1)
+        return np.sqrt(total + np.bincount(of[~hit], value[~hit] ** 2, minlength=len(rows)))
+
+
+def _sparse_search(k: int):
+    """As :func:`_search`, for sparse rows."""
+
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        found = [[], [], []]
+        if queries.num_rows and points.num_rows:
+            block, index = SparseBlock(queries), SparseIndex(SparseBlock(points))
+            for i, rep in enumerate(block.ids):
+                term, weight = block.row(i)
+                rows, _ = index.candidates(term, weight, rep, k)
+                near = index.distances(term, weight, rows).round(DIGITS)
+                order = np.lexsort((index.points.ids[rows], near))[:k]
+                found[0].append(np.full(len(order), rep))
+                found[1].append(index.points.ids[rows][order])
+                found[2].append(near[order])
+        columns = [np.concatenate(x) if x else [] for x in found]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["rep", "near", "distance"])
+
+    return run
+
+
+def is_sparse(points: DataFrame) -> bool:
+    return points.schema["vector"].dataType.typeName() == "struct"
+
+
 def _nearest_distinct(reps: DataFrame, k: int, block_rows: int) -> DataFrame:
     """``rep, near, distance``: the ``k`` nearest other distinct vectors."""
     groups = max(1, -(-reps.count() // block_rows))
@@ -70,22 +180,31 @@ def _nearest_distinct(reps: DataFrame, k: int, block_rows: int) -> DataFrame:
     queries = reps.select("rep", "vector", own.alias("query"), every.alias("point"))
     points = reps.select("rep", "vector", own.alias("point"), every.alias("query"))
     keys = ["query", "point"]
-    found = queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(_search(k), _FOUND)
+    blocks = queries.groupBy(*keys).cogroup(points.groupBy(*keys))
+    found = blocks.applyInArrow(_sparse_search(k), _FOUND) if is_sparse(reps) else blocks.applyInPandas(_search(k), _FOUND)
     return first_rows(found, ["rep"], ["distance", "near"], k)
 
 
+def collapsed(points: DataFrame, k: int) -> DataFrame:
+    """``vector, ids, rep``: the distinct vectors, each named by its smallest id."""
+    return _collapse(points, k).withColumn("rep", F.get("ids", F.lit(0)))
+
+
 def nearest_neighbours(
     points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The ``k`` nearest other rows by Euclidean distance, for every row.
 
-    ``points`` is ``row_id, vector``; the result ``row_id, rank, neighbour,
+    ``points`` is ``row_id, vector``, of dense vectors, or of sparse ones with
+    weights of 0 or more; the result ``row_id, rank, neighbour,
     distance`` has ranks from 1, ties going to the smaller id.
     """
-    reps = written(
-        _collapse(points, k).withColumn("rep", F.get("ids", F.lit(0))), "distinct"
-    )
-    near = _nearest_distinct(reps, k, block_rows)
+    reps = written(collapsed(points, k), "distinct")
+    return expanded(points, reps, _nearest_distinct(reps, k, block_rows), k)
+
+
+def expanded(points: DataFrame, reps: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """Neighbours of all rows from those of the distinct vectors."""
     ids = reps.select(F.col("rep").alias("near"), F.col("ids").alias("near_ids"))
     candidates = near.join(ids, "near").groupBy("rep").agg(
         F.collect_list(F.struct("distance", "near_ids")).alias("sets")
