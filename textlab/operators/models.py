@@ -1,8 +1,8 @@
 """Classifiers on Spark ML, from recorded parameters.
 
-Spark's multilayer perceptron has sigmoid units and l-bfgs; the recorded
-activation and learning rates have no counterpart and are kept as data only.
-Trees stop at depth 30, Spark's limit.
+Networks are trained by mini-batches (``operators.networks``), with the recorded
+activation, rate and schedule. Only a saved classifier is Spark's multilayer
+perceptron, which has sigmoid units and l-bfgs. Trees stop at depth 30, Spark's limit.
 """
 
 from __future__ import annotations
@@ -24,10 +24,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.operators import many_fits, networks
 from textlab.operators.ranking import positions
 from textlab.operators.sampling import class_weights, stratified_folds
-from textlab.operators.scoring import mean_variance, split_scores
-from textlab.operators.search import trial_table
 from textlab.operators.vectors import vector_dims
 from textlab.session import written
 
@@ -98,7 +97,9 @@ def fit_predict_splits(
     features: DataFrame, splits: DataFrame, params: Mapping, max_iter: int = 1000,
     parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
-    """``row_id, split_no, label, prediction``: one fit per split, some at a time."""
+    """``row_id, split_no, label, prediction``: one fit per split, some at a time; networks all together."""
+    if params["model"] == "Neural Network":
+        return _network_predictions(features, splits, params, max_iter)
     rows = as_ml(features).join(splits, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         numbers = sorted(r["split_no"] for r in splits.select("split_no").distinct().collect())
@@ -118,24 +119,15 @@ def fit_predict_splits(
         rows.unpersist()
 
 
-def evaluate_recorded(
-    results: DataFrame, feature_sets: Mapping[str, tuple[DataFrame, DataFrame]],
-    max_iter: int = 1000,
-) -> DataFrame:
-    """Refit every recorded classifier on its splits and score it again.
-
-    ``feature_sets`` maps a file name to its balanced features and splits. The
-    recorded rows are the loop of the search, a few dozen fits.
-    """
-    tables = []
-    for row in results.where(F.col("filename").isin(list(feature_sets))).toLocalIterator():
-        features, splits = feature_sets[row["filename"]]
-        predictions = fit_predict_splits(features, splits, row.asDict(), max_iter)
-        scores = mean_variance(split_scores(predictions))
-        tables.append(scores.select(
-            F.lit(row["filename"]).alias("filename"), F.lit(row["model"]).alias("model"), "*"
-        ))
-    return reduce(lambda a, b: a.unionByName(b), tables)
+def _network_predictions(features: DataFrame, splits: DataFrame, params: Mapping, max_epochs: int) -> DataFrame:
+    rows, numbers = many_fits.folded(features, splits)
+    nets = [networks.Network.of(params, place) for place in range(len(numbers))]
+    said = networks.predictions(rows, numbers, nets, networks.fit_all(rows, nets, max_epochs))
+    said = written(said.select("row_id", "split_no", "label", "prediction"), "predictions")
+    if "is_synthetic" not in features.columns:
+        return said
+    return said.join(features.select("row_id", "is_synthetic"), "row_id").select(
+        "row_id", "split_no", "label", "is_synthetic", "prediction")
 
 
 def cv_objective(
@@ -168,23 +160,6 @@ def cv_objective(
     return sum(scores) / len(scores)
 
 
-def tune(
-    features: DataFrame, splits: DataFrame, model: str, n_trials: int, filename: str = "features",
-    seed: int = SEED, max_iter: int = 1000,
-) -> tuple[dict, float]:
-    """The best parameters of a seeded random search and their objective."""
-    keys = features.sparkSession.createDataFrame([(filename,)], "filename string")
-    best: tuple[dict, float] | None = None
-    for row in trial_table(keys, model, n_trials, seed).orderBy("trial").collect():
-        params = row.asDict()
-        score = cv_objective(
-            features, splits, lambda n, d: build_classifier(params, n, d, max_iter)
-        )
-        if best is None or score > best[1]:
-            best = (params, score)
-    return best
-
-
 @F.udf(VectorUDT())
 def _sparse(size, entries):
     return Vectors.sparse(size, [(e["term_id"], e["weight"]) for e in entries or []])
