@@ -18,6 +18,7 @@ from textlab.operators import report as R
 from textlab.operators import scoring as S
 from textlab.operators import tfidf as D
 from textlab.operators import vectors as W
+from textlab.operators.encoders import model_encoder
 from textlab.plans.features import masked_tfidf, tfidf_tokens, top_terms
 
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '[\t-\r\x1C-\x20\x{85}\p{Z}]+'), lambda w: w <> ''))"
@@ -121,6 +122,40 @@ def chunk_vector_mean(spark, sf):
     return _as_cells(W.embed_chunks(X.documents(spark, sf), encoder, X.DIMS))
 
 
+cte("chunk_lengths", """
+    SELECT doc_id, chunk, len(w) AS n_chars, count(*) OVER (PARTITION BY doc_id, chunk) AS n
+    FROM (SELECT doc_id, chunk, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')) AS w FROM chunks)
+    WHERE w <> ''""", "chunks")
+
+
+@query("chunk_encoder_mean", """
+    SELECT c.doc_id, d.i AS dim, round(sum(coalesce(l.share, 0.0)) / count(*), 6) + 0.0 AS value
+    FROM (SELECT doc_id, chunk FROM chunks) c CROSS JOIN (SELECT unnest(range(0, 8)) AS i) d
+    LEFT JOIN (SELECT doc_id, chunk, n_chars % 8 AS i, count(*) / CAST(min(n) AS DOUBLE) AS share
+               FROM chunk_lengths GROUP BY ALL) l ON l.doc_id = c.doc_id AND l.chunk = c.chunk AND l.i = d.i
+    GROUP BY c.doc_id, d.i""", ("chunks", "chunk_lengths"))
+def chunk_encoder_mean(spark, sf):
+    """Mean chunk vectors by an encoder of the user's own, loaded once per worker."""
+    encoder = model_encoder(length_encoder, 8)
+    return _as_cells(W.embed_chunks(X.documents(spark, sf), encoder, 8)).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+def length_encoder():
+    """A model that needs no file: the shares of words by their length."""
+    import re
+
+    import numpy as np
+
+    def encode(texts):
+        out = np.zeros((len(texts), 8))
+        for row, text in zip(out, texts):
+            lengths = [len(w) % 8 for w in re.findall("[a-zA-Z]+", text)]
+            row += np.bincount(lengths, minlength=8) / max(1, len(lengths))
+        return out
+
+    return encode
+
+
 _ALNUM = r"""list_filter(regexp_extract_all(lower({0}),
         '[\p{{L}}\p{{N}}\p{{M}}]+(?:[-./_][\p{{L}}\p{{N}}\p{{M}}]+)*'),
         lambda w: regexp_full_match(w, '[\p{{L}}\p{{N}}]+') AND w NOT IN ({1}))"""

@@ -14,8 +14,8 @@ from textlab.functions import names as N
 from textlab.functions import text as T
 from textlab.operators.explode import exploded
 from textlab.operators.ranking import first_rows, positions
-from textlab.operators.vectors import vector_lookup
-from textlab.session import written
+from textlab.operators.vectors import aggregate_vectors, vector_lookup
+from textlab.session import scratch_path, written
 from textlab.sources.readers import read_documents
 
 # Invented lists for the synthetic prose of the test tables.
@@ -45,6 +45,14 @@ def once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return _written[key]
 
 
+def cached(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """As :func:`once`, for a table that ``build`` writes itself."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _written:
+        _written[key] = build()
+    return _written[key]
+
+
 def full_documents(spark, sf):
     """Documents; a session may say how many partitions a scan of one small file should have."""
     partitions = spark.conf.get("spark.textlab.scan.partitions", None)
@@ -156,20 +164,78 @@ cte("features", """
            CAST(label = 0 AS INTEGER) AS label FROM embeddings""")
 
 
-def word_vectors(spark, sf):
-    """The most frequent words, one per embedding."""
+def word_ranks(spark, sf):
+    """Words by the number of documents that hold them, numbered as embeddings are."""
 
     def build():
         distinct = F.array_distinct(T.letters_tokens(F.col("text")))
         words = exploded(documents(spark, sf), [], distinct, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-        ranked = positions(words, [F.desc("df"), "word"], "vec_id")
+        ranked = positions(words, [F.desc("df"), "word"], "vec_id").select("word", "vec_id")
+        return ranked.join(table(spark, sf, "embeddings").select("vec_id"), "vec_id").select("word", "vec_id")
+
+    return once(spark, sf, "word_ranks", build)
+
+
+def word_vectors(spark, sf):
+    """The most frequent words, one per embedding."""
+
+    def build():
         vectors = table(spark, sf, "embeddings").select(
             "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-        return ranked.join(vectors, "vec_id").select("word", "vector")
+        return word_ranks(spark, sf).join(vectors, "vec_id").select("word", "vector")
 
     return once(spark, sf, "word_vectors", build)
 
 
+#: Sets of word vectors by their length.
+SETS = (25, 50, 100, 200)
+
+
+def sized_vectors(spark, sf, dims):
+    """Word vectors of ``dims`` elements: a word's embedding and as much of those after it as it takes."""
+    embeddings = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("part"))
+    n = embeddings.count()
+    pieces = -(-dims // DIMS)
+    places = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")
+    wanted = word_ranks(spark, sf).select("word", "vec_id", places).withColumn(
+        "vec_id", F.pmod(F.col("vec_id") + F.col("piece"), F.lit(n)))
+    parts = wanted.join(embeddings, "vec_id").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("piece", "part"))).alias("p"))
+    return parts.select("word", F.slice(F.flatten(F.transform("p", lambda x: x["part"])), 1, dims).alias("vector"))
+
+
+def sized_lookup(spark, sf, dims):
+    return once(spark, sf, f"lookup_{dims}", lambda: vector_lookup(
+        written(sized_vectors(spark, sf, dims), "vectors"), lemmas(spark, sf)))
+
+
+def sets_of_files(names):
+    """``name, dims, how`` of those recorded files whose features can be built here."""
+    known = {f"word_embeddings/word_embeddings_{d}_{'average' if h == 'mean' else 'sum'}.csv": (d, h)
+             for d in SETS for h in ("mean", "sum")}
+    return [(name, *known[name]) for name in sorted(names) if name in known]
+
+
+def file_features(spark, sf, dims, how):
+    """Features of the labelled documents as a feature file has them: ``row_id, vector, label``."""
+    docs = corpus(spark, sf)
+    vectors = aggregate_vectors(docs, sized_lookup(spark, sf, dims), how, dims)
+    return vectors.join(docs.select("doc_id", "label"), "doc_id").withColumnRenamed("doc_id", "row_id")
+
+
+def features_by_file(spark, sf):
+    """The features of every recorded file that can be built, in a table with a folder for each."""
+
+    def build():
+        names = [r["filename"] for r in feature_sets(spark, sf).collect()]  # one for each file
+        path = scratch_path(spark, "features", keep=True)
+        for name, dims, how in sets_of_files(names):
+            rows = file_features(spark, sf, dims, how).withColumn("filename", F.lit(name))
+            rows.write.mode("append").partitionBy("filename").parquet(path)
+        return spark.read.schema("row_id long, vector array<double>, label int, filename string").parquet(path)
+
+    return cached(spark, sf, "features_by_file", build)
+
+
 cte("letter_words", """
     SELECT doc_id, w AS word, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos
     FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
@@ -294,3 +360,25 @@ def feature_sets(spark, sf):
 
 
 cte("feature_sets", "SELECT DISTINCT filename FROM results", "results")
+
+# The word vectors of the sets, by the embedding that a word's vector begins with.
+cte("lemma_places", """
+    SELECT l.word, l.lemma, r.rank FROM lookup l
+    LEFT JOIN (SELECT word, row_number() OVER (ORDER BY count(DISTINCT doc_id) DESC, word) - 1 AS rank
+               FROM letter_words GROUP BY word) r ON r.word = l.lemma AND l.vector IS NOT NULL""", "lookup", "letter_words")
+cte("built_files", """
+    SELECT filename, CAST(regexp_extract(filename, '_(\\d+)_', 1) AS INTEGER) AS dims, contains(filename, 'average') AS average
+    FROM feature_sets WHERE regexp_matches(filename, '^word_embeddings/word_embeddings_(25|50|100|200)_(sum|average)\\.csv$')""",
+    "feature_sets")
+# The first and the last element of every file's features.
+cte("file_edges", """
+    SELECT f.filename, f.dims, d.doc_id, d.label, e.i,
+           round(coalesce(sum(w.n * CAST(v.embedding[(e.i - 1) % 64 + 1] AS DOUBLE))
+                          / CASE WHEN f.average THEN sum(w.n) ELSE 1 END, 0), 12) AS value
+    FROM built_files f CROSS JOIN corpus d
+    CROSS JOIN (SELECT unnest([1, 2]) AS side) s
+    JOIN (SELECT unnest(range(1, 201)) AS i) e ON e.i = CASE WHEN s.side = 1 THEN 1 ELSE f.dims END
+    LEFT JOIN (SELECT doc_id, k.rank, count(*) AS n FROM letter_words t JOIN lemma_places k ON k.word = t.word AND k.rank IS NOT NULL
+               GROUP BY ALL) w ON w.doc_id = d.doc_id
+    LEFT JOIN embeddings v ON v.vec_id = (w.rank + (e.i - 1) // 64) % (SELECT count(*) FROM embeddings)
+    GROUP BY f.filename, f.dims, f.average, d.doc_id, d.label, e.i""", "built_files", "corpus", "letter_words", "lemma_places")

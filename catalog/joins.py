@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog.filters import TOPIC_SQL, topic
 from catalog.registry import cte, query
+from textlab.functions import text as T
 from textlab.functions import vectors as V
 from textlab.operators import cohort as C
 from textlab.operators import errors as E
 from textlab.operators import lexicon as L
+from textlab.operators import phrases as P
 from textlab.operators import report as R
 from textlab.operators import vectors as W
+from textlab.operators.lsh import approximate_neighbours
 from textlab.operators.neighbours import nearest_neighbours
 from textlab.operators.sampling import holdout_splits
 from textlab.operators.scoring import centroid_predictions
 from textlab.plans.features import variant_features, with_variants
 
+LSH_BUCKET = 256  # rows of a bucket, for tables of a few thousand rows
+
+
 cte("variant_docs", """
     SELECT doc_id, label, 'original' AS variant, text FROM corpus
     UNION ALL SELECT doc_id, label, 'masked', text FROM masked""", "corpus", "masked")
@@ -160,6 +166,100 @@ def join_params_features(spark, sf):
     return joined.select("filename", "model", "file_order")
 
 
+@query("join_params_feature_rows", """
+    SELECT r.filename, r.model, CAST(min(e.dims) AS INTEGER) AS dims, count(DISTINCT e.doc_id) AS n_rows,
+           CAST(sum(CASE WHEN e.i = 1 THEN e.label ELSE 0 END) AS BIGINT) AS n_positive,
+           round(sum(CASE WHEN e.i = 1 THEN e.value END), 6) + 0.0 AS first_sum,
+           round(sum(CASE WHEN e.i = e.dims THEN e.value END), 6) + 0.0 AS last_sum
+    FROM results r JOIN file_edges e USING (filename) GROUP BY r.filename, r.model""", ("results", "file_edges"))
+def join_params_feature_rows(spark, sf):
+    """Recorded classifiers with the rows of their feature files; only recorded files are read."""
+    recorded = X.results(spark, sf).select("filename", "model")
+    joined = X.features_by_file(spark, sf).join(recorded, "filename")
+    size = F.size("vector")
+    ends = F.sum(F.get("vector", F.lit(0))), F.sum(F.element_at("vector", -1))
+    return joined.groupBy("filename", "model").agg(
+        F.min(size).alias("dims"), F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_positive"),
+        *[F.round(e, 6).alias(n) for e, n in zip(ends, ("first_sum", "last_sum"))])
+
+
+# Long lists of phrases, as tables: words of the benchmark, and neighbouring words there.
+cte("listed_words", r"""
+    SELECT DISTINCT word AS term FROM (
+        SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) >= 4""")
+cte("listed_pairs", r"""
+    SELECT DISTINCT words[i] || ' ' || words[i + 1] AS term FROM (
+        SELECT words, unnest(range(1, len(words))) AS i
+        FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS words FROM benchmark))""")
+
+
+def listed_words(spark, sf):
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")
+    return X.table(spark, sf, "benchmark").select(words).where(F.length("term") >= 4).distinct()
+
+
+def listed_pairs(spark, sf):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.size("w")),
+                       lambda a, b: F.concat_ws(" ", a, b))
+    return X.table(spark, sf, "benchmark").select(words.alias("w")).select(F.explode(pairs).alias("term")).distinct()
+
+
+@query("theta_join_term_table", """
+    SELECT doc_id, term, CAST((length(t) - length(replace(t, term, ''))) // length(term) AS INTEGER) AS n
+    FROM (SELECT doc_id, lower(text) AS t FROM documents), listed_words WHERE contains(t, term)""", ("listed_words",))
+def theta_join_term_table(spark, sf):
+    """Document-term pairs for every term of a table, in one pass over the texts."""
+    return P.occurrences(X.documents(spark, sf), listed_words(spark, sf))
+
+
+@query("match_any_phrase_table", """
+    SELECT doc_id FROM near_text WHERE EXISTS (SELECT 1 FROM listed_pairs WHERE contains(t, term))""",
+    ("near_text", "listed_pairs"))
+def match_any_phrase_table(spark, sf):
+    """Posts with any phrase of a table."""
+    text = T.post_text(F.col("title"), F.col("body"))
+    posts = X.posts(spark, sf).select("doc_id", text.alias("text"))
+    return P.holding_any(posts, listed_pairs(spark, sf)).select("doc_id")
+
+
+@query("match_near_table", "SELECT doc_id FROM near", ("near",))
+def match_near_table(spark, sf):
+    """Posts with a condition term near a trigger, the lists being tables."""
+    text = T.post_text(F.col("title"), F.col("body"))
+    posts = X.posts(spark, sf).select("doc_id", text.alias("text"))
+    lists = (spark.createDataFrame([(x,) for x in words], "term string") for words in (X.TRIGGERS, X.REJECTS, X.CONDITIONS))
+    return P.near_table(posts, *lists)
+
+
+@query("mask_terms_table", f"""
+    SELECT doc_id, length(m) AS n_chars, md5(m) AS digest
+    FROM (SELECT doc_id, {X.mask_sql('text')} AS m FROM documents)""")
+def mask_terms_table(spark, sf):
+    """Documents without the terms of a table."""
+    terms = spark.createDataFrame([(t,) for t in X.TERMS], "term string")
+    masked = P.mask_with_table(X.documents(spark, sf), terms)
+    return masked.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("knn_lsh_join")
+def knn_lsh_join(spark, sf):
+    """Neighbours of all features by the locality-sensitive index; most of the true ones."""
+    found = approximate_neighbours(X.features(spark, sf), 5, bucket_rows=LSH_BUCKET)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("lsh_recall", """
+    SELECT (SELECT 5 * count(*) FROM features) AS n_neighbours, true AS nine_tenths_found""", ("features",))
+def lsh_recall(spark, sf):
+    """Whether the index finds nine tenths of the neighbours that the exact join finds."""
+    points = X.features(spark, sf)
+    keys = ["row_id", "neighbour"]
+    found = approximate_neighbours(points, 5, bucket_rows=LSH_BUCKET).select(*keys, F.lit(1).alias("hit"))
+    both = nearest_neighbours(points, 5).select(*keys).join(found, keys, "left")
+    return both.agg(F.count(F.lit(1)).alias("n_neighbours"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("nine_tenths_found"))
+
+
 cte("splits", """
     SELECT split_no, row_id, CASE WHEN row_number() OVER (PARTITION BY split_no
                ORDER BY md5(split_no || ':' || row_id)) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY split_no))

@@ -16,9 +16,12 @@ from textlab.operators.sampling import (
     class_weights, holdout_splits, smote, stratified_folds,
 )
 from textlab.operators.search import SPACE, trial_table
+from textlab.operators.neighbours import nearest_neighbours
 from textlab.operators.selection import mutual_information, top_percent
+from textlab.operators.sparse import balance_weights, numbered_terms, sparse_rows
 from textlab.operators.tfidf import tfidf
 from textlab.operators.vectors import aggregate_vectors
+from textlab.plans import tuning
 from textlab.plans.experiments import prepare_data, variant_experiment
 from textlab.plans.features import tfidf_tokens
 from textlab.plans.predict import embed_texts, predict, train_bundle
@@ -84,47 +87,130 @@ def folds(spark, sf):
     return stratified_folds(X.features(spark, sf))
 
 
-cte("mi_rows", """
+def _mi_ctes(name: str, weights: str, rows: str) -> None:
+    """Cells of term, label and bin, from weights(doc_id, term, weight) and rows(doc_id, label)."""
+    cte(f"{name}_rows", f"""
     SELECT term, label, floor((row_number() OVER (PARTITION BY term ORDER BY round(weight, 9), doc_id) - 1) * 4
                / CAST(count(*) OVER (PARTITION BY term) AS DOUBLE)) AS bin
-    FROM tfidf JOIN (SELECT doc_id, label FROM corpus) USING (doc_id)""", "tfidf", "corpus")
-cte("mi_cells", """
-    SELECT term, label, bin, count(*) AS n FROM mi_rows GROUP BY ALL
+    FROM {weights} JOIN (SELECT doc_id, label FROM {rows}) USING (doc_id)""", weights, rows)
+    cte(f"{name}_cells", f"""
+    SELECT term, label, bin, count(*) AS n FROM {name}_rows GROUP BY ALL
     UNION ALL
-    SELECT t.term, c.label, -1, c.n - coalesce(m.n, 0) FROM (SELECT DISTINCT term FROM mi_rows) t
-    CROSS JOIN (SELECT label, count(*) AS n FROM corpus GROUP BY label) c
-    LEFT JOIN (SELECT term, label, count(*) AS n FROM mi_rows GROUP BY ALL) m
-        ON m.term = t.term AND m.label = c.label""", "mi_rows", "corpus")
+    SELECT t.term, c.label, -1, c.n - coalesce(m.n, 0) FROM (SELECT DISTINCT term FROM {name}_rows) t
+    CROSS JOIN (SELECT label, count(*) AS n FROM {rows} GROUP BY label) c
+    LEFT JOIN (SELECT term, label, count(*) AS n FROM {name}_rows GROUP BY ALL) m
+        ON m.term = t.term AND m.label = c.label""", f"{name}_rows", rows)
 
 
-@query("mutual_information", """
-    SELECT term, round(sum(CASE WHEN n > 0 THEN n / total * ln(n * total / (r * c)) ELSE 0 END), 6)
+def _mi_scores(name: str, digits: int) -> str:
+    return f"""
+    SELECT term, round(sum(CASE WHEN n > 0 THEN n / total * ln(n * total / (r * c)) ELSE 0 END), {digits})
                + 0.0 AS score
     FROM (SELECT m.term, CAST(m.n AS DOUBLE) AS n, sum(m.n) OVER (PARTITION BY m.term, m.bin) AS r,
                  sum(m.n) OVER (PARTITION BY m.term, m.label) AS c,
-                 CAST(sum(m.n) OVER (PARTITION BY m.term) AS DOUBLE) AS total FROM mi_cells m)
-    GROUP BY term""", ("mi_cells",))
+                 CAST(sum(m.n) OVER (PARTITION BY m.term) AS DOUBLE) AS total FROM {name}_cells m)
+    GROUP BY term"""
+
+
+cte("v_draws", f"""
+    SELECT j, CAST(floor({uniform_sql('b', 'j')} * n1) AS BIGINT) AS base,
+           1 + CAST(floor({uniform_sql('n', 'j')} * 5) AS BIGINT) AS rank, {uniform_sql('g', 'j')} AS gap
+    FROM (SELECT unnest(range(0, n0 - n1)) AS j, n1 FROM (
+        SELECT CAST(sum(1 - label) AS BIGINT) AS n0, CAST(sum(label) AS BIGINT) AS n1 FROM corpus))""", "corpus")
+# The TF-IDF rows of the smaller class, their nearest neighbours and the points between them.
+cte("sparse_minority", """
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS base FROM corpus WHERE label = 1""", "corpus")
+cte("sparse_entries", """
+    SELECT t.doc_id, t.term, t.weight AS w FROM tfidf t JOIN sparse_minority m USING (doc_id)""", "tfidf", "sparse_minority")
+cte("sparse_distances", """
+    SELECT a, b, round(sqrt(coalesce(sum((wa - wb) * (wa - wb)), 0)), 9) AS d FROM (
+        SELECT p.a, p.b, e.w AS wa, coalesce(f.w, 0) AS wb
+        FROM (SELECT a.doc_id AS a, b.doc_id AS b FROM sparse_minority a JOIN sparse_minority b ON a.doc_id <> b.doc_id) p
+        LEFT JOIN sparse_entries e ON e.doc_id = p.a
+        LEFT JOIN sparse_entries f ON f.doc_id = p.b AND f.term = e.term
+        UNION ALL
+        SELECT a.doc_id, f.doc_id, 0, f.w FROM sparse_minority a JOIN sparse_entries f ON f.doc_id <> a.doc_id
+        ANTI JOIN sparse_entries e ON e.doc_id = a.doc_id AND e.term = f.term)
+    GROUP BY a, b""", "sparse_minority", "sparse_entries")
+cte("sparse_neighbours", """
+    SELECT a AS doc_id, b AS neighbour, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank
+    FROM sparse_distances QUALIFY rank <= 5""", "sparse_distances")
+cte("sparse_drawn", """
+    SELECT (SELECT max(doc_id) FROM corpus) + 1 + j AS doc_id, m.doc_id AS one, n.neighbour AS other, gap
+    FROM v_draws d JOIN sparse_minority m USING (base)
+    JOIN sparse_neighbours n ON n.doc_id = m.doc_id AND n.rank = d.rank""",
+    "corpus", "v_draws", "sparse_minority", "sparse_neighbours")
+cte("sparse_synthetic", """
+    SELECT doc_id, term, round(sum(CASE WHEN side = 1 THEN w ELSE 0 END) + gap * (
+        sum(CASE WHEN side = 2 THEN w ELSE 0 END) - sum(CASE WHEN side = 1 THEN w ELSE 0 END)), 12) AS weight
+    FROM (SELECT s.doc_id, s.gap, 1 AS side, e.term, e.w FROM sparse_drawn s JOIN sparse_entries e ON e.doc_id = s.one
+          UNION ALL
+          SELECT s.doc_id, s.gap, 2, e.term, e.w FROM sparse_drawn s JOIN sparse_entries e ON e.doc_id = s.other)
+    GROUP BY doc_id, term, gap HAVING weight <> 0""", "sparse_drawn", "sparse_entries")
+cte("balanced_tfidf", """
+    SELECT doc_id, term, weight FROM tfidf JOIN (SELECT doc_id FROM corpus) USING (doc_id)
+    UNION ALL SELECT doc_id, term, weight FROM sparse_synthetic""", "tfidf", "corpus", "sparse_synthetic")
+cte("balanced_corpus", """
+    SELECT doc_id, label FROM corpus UNION ALL SELECT doc_id, 1 FROM sparse_drawn""", "corpus", "sparse_drawn")
+_mi_ctes("mi", "tfidf", "corpus")
+_mi_ctes("balanced_mi", "balanced_tfidf", "balanced_corpus")
+
+
+def balanced_weights(spark, sf):
+    """TF-IDF weights and rows of the labelled documents, balanced."""
+    weights = written(tfidf(tokens(spark, sf)), "weights")
+    docs = written(X.corpus(spark, sf).select("doc_id", "label"), "labels")
+    return balance_weights(weights.join(docs.select("doc_id"), "doc_id", "left_semi"), docs)
+
+
+@query("sparse_neighbours", """
+    SELECT doc_id AS row_id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) AS distance
+    FROM sparse_neighbours""", ("sparse_neighbours",))
+def sparse_neighbours(spark, sf):
+    """The nearest TF-IDF rows of every row of the smaller class."""
+    weights, docs = tfidf(tokens(spark, sf)), X.corpus(spark, sf).where("label = 1").select("doc_id")
+    weights = written(weights, "weights")
+    rows = sparse_rows(weights, docs, numbered_terms(weights)).withColumnRenamed("doc_id", "row_id")
+    return nearest_neighbours(written(rows, "rows"), 5).withColumn("distance", F.round("distance", 6))
+
+
+@query("tfidf_balance", """
+    SELECT doc_id, label, is_synthetic, count(term) AS n_terms, round(coalesce(sum(weight), 0), 6) + 0.0 AS total
+    FROM (SELECT doc_id, label, false AS is_synthetic FROM corpus
+          UNION ALL SELECT doc_id, 1, true FROM sparse_drawn)
+    LEFT JOIN balanced_tfidf USING (doc_id) GROUP BY ALL""", ("corpus", "sparse_drawn", "balanced_tfidf"))
+def tfidf_balance(spark, sf):
+    """Rows of the balanced TF-IDF matrix, with their terms and the sum of their weights."""
+    weights, docs = balanced_weights(spark, sf)
+    sums = weights.groupBy("doc_id").agg(F.count("term").alias("n_terms"), F.sum("weight").alias("total"))
+    total = F.round(F.coalesce("total", F.lit(0.0)), 6)
+    return docs.join(sums, "doc_id", "left").select(
+        "doc_id", "label", "is_synthetic", F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms"), total.alias("total"))
+
+
+@query("mutual_information", _mi_scores("balanced_mi", 6), ("balanced_mi_cells",))
 def mutual_information_scores(spark, sf):
+    """Terms of the balanced matrix by what they tell of the label."""
+    return mutual_information(*balanced_weights(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query("raw_mutual_information", _mi_scores("mi", 6), ("mi_cells",))
+def raw_mutual_information(spark, sf):
+    """The same for the rows as they are."""
     weights = tfidf(tokens(spark, sf))
     labels = X.corpus(spark, sf).select("doc_id", "label")
     return mutual_information(weights, labels).withColumn("score", F.round("score", 6))
 
 
-@query("top_k_percent_features", """
+@query("top_k_percent_features", f"""
     SELECT pct, rank, term, score FROM (
         SELECT term, score, row_number() OVER (ORDER BY score DESC, term) AS rank, count(*) OVER () AS n
-        FROM (SELECT term, round(sum(CASE WHEN n > 0 THEN n / total * ln(n * total / (r * c)) ELSE 0 END), 9)
-                         + 0.0 AS score
-              FROM (SELECT m.term, CAST(m.n AS DOUBLE) AS n, sum(m.n) OVER (PARTITION BY m.term, m.bin) AS r,
-                           sum(m.n) OVER (PARTITION BY m.term, m.label) AS c,
-                           CAST(sum(m.n) OVER (PARTITION BY m.term) AS DOUBLE) AS total FROM mi_cells m)
-              GROUP BY term)),
+        FROM ({_mi_scores("balanced_mi", 9)})),
         (SELECT unnest(CAST([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45] AS DOUBLE[])) AS pct)
-    WHERE rank <= floor(pct * n)""", ("mi_cells",))
+    WHERE rank <= floor(pct * n)""", ("balanced_mi_cells",))
 def top_k_percent_features(spark, sf):
-    """The best shares of the vocabulary by mutual information with the label."""
-    labels = X.corpus(spark, sf).select("doc_id", "label")
-    scores = mutual_information(tfidf(tokens(spark, sf)), labels)
+    """The best shares of the vocabulary by mutual information with the label, on the balanced matrix."""
+    scores = mutual_information(*balanced_weights(spark, sf))
     return top_percent(scores.withColumn("score", F.round("score", 9)))
 
 
@@ -260,11 +346,6 @@ cte("v_neighbours", """
                ORDER BY round(list_distance(a.vector, b.vector), 9), b.row_id) AS rank
     FROM v_minority a JOIN v_minority b ON a.variant = b.variant AND a.row_id <> b.row_id
     QUALIFY rank <= 5""", "v_minority")
-cte("v_draws", f"""
-    SELECT j, CAST(floor({uniform_sql('b', 'j')} * n1) AS BIGINT) AS base,
-           1 + CAST(floor({uniform_sql('n', 'j')} * 5) AS BIGINT) AS rank, {uniform_sql('g', 'j')} AS gap
-    FROM (SELECT unnest(range(0, n0 - n1)) AS j, n1 FROM (
-        SELECT CAST(sum(1 - label) AS BIGINT) AS n0, CAST(sum(label) AS BIGINT) AS n1 FROM corpus))""", "corpus")
 cte("v_balanced", """
     SELECT variant, row_id, label, i, value FROM v_rows
     UNION ALL
@@ -309,9 +390,17 @@ def variant_experiments(spark, sf):
     return variant_experiment(variants(spark, sf), "word_embeddings_64_average.csv", X.DIMS)
 
 
+@query("variant_experiment_fitted")
+def variant_experiment_fitted(spark, sf):
+    """The same with a forest of 100 trees for each variant and fold."""
+    params = {"model": "Random Forest", "n_estimators": 100}
+    return variant_experiment(variants(spark, sf), "word_embeddings_64_average.csv", X.DIMS, params)
+
+
 FOREST = {"model": "Random Forest", "n_estimators": 50, "max_features": "sqrt", "criterion": "gini"}
 LOGISTIC = {"model": "Logistic Regression", "c": 10.0, "penalty": "l2", "class_weight": "balanced"}
-NETWORK = {"model": "Neural Network", "hidden_layer_sizes": "(256, 128, 64, 32, 16)", "batch_size": 128}
+NETWORK = {"model": "Neural Network", "hidden_layer_sizes": "(256, 128, 64, 32, 16)", "batch_size": 128,
+           "activation": "relu", "learning_rate": "adaptive", "learning_rate_init": 0.001}
 
 
 # What SQL can say of a trained classifier: its test rows, and that it beats the larger class.
@@ -349,13 +438,50 @@ def mlp(spark, sf):
     return _split_scores(spark, sf, NETWORK)
 
 
+@query("classifier_scores")
+def classifier_scores(spark, sf):
+    """F1 and accuracy of the three classifiers on each split of the balanced features."""
+    balanced, splits = prepare_data(X.features(spark, sf))
+    tables = [
+        S.split_scores(M.fit_predict_splits(balanced, splits, p)).withColumn("model", F.lit(p["model"]))
+        for p in (FOREST, LOGISTIC, NETWORK)
+    ]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2]).select("model", "split_no", "f1", "accuracy")
+
+
+@query("tune_logistic")
+def tune_logistic(spark, sf):
+    """100 trials of the regression on the balanced features: the best parameters, their
+    objective, and their scores on the test parts. All 2,500 fits run together."""
+    balanced, splits = prepare_data(X.features(spark, sf))
+    return tuning.tune(balanced, splits, "word_embeddings/word_embeddings_64_average.csv", ["Logistic Regression"])
+
+
 @query("evaluate_recorded")
 def evaluate_recorded(spark, sf):
-    """Recorded classifiers of one feature file, fitted and scored again."""
-    name = "word_embeddings/word_embeddings_200_average.csv"
-    recorded = X.results(spark, sf).where(F.col("filename") == name)
-    data = prepare_data(X.features(spark, sf))
-    return M.evaluate_recorded(recorded, {name: data})
+    """Every recorded classifier, fitted and scored again where the features of its file can be
+    built here; the others are reported as missing."""
+    recorded = written(X.results(spark, sf), "results")
+    names = [r["filename"] for r in recorded.select("filename").distinct().collect()]  # one for each file
+    table = X.features_by_file(spark, sf)
+    sets = {
+        name: prepare_data(table.where(F.col("filename") == name).select("row_id", "vector", "label"))
+        for name, _, _ in X.sets_of_files(names)
+    }
+    return tuning.evaluate_recorded(recorded, sets)
+
+
+@query("recorded_coverage", """
+    SELECT r.filename, r.model, CASE WHEN b.filename IS NULL THEN 'missing' ELSE 'built' END AS status, b.dims,
+           CASE WHEN b.filename IS NOT NULL THEN (SELECT count(*) FROM corpus) END AS n_rows
+    FROM results r LEFT JOIN built_files b USING (filename)""", ("results", "built_files", "corpus"))
+def recorded_coverage(spark, sf):
+    """Which recorded classifiers have features here, of which size and how many rows."""
+    built = X.features_by_file(spark, sf).groupBy("filename").agg(
+        F.min(F.size("vector")).alias("dims"), F.count(F.lit(1)).alias("n_rows"))
+    status = F.when(F.col("dims").isNull(), "missing").otherwise("built")
+    return X.results(spark, sf).select("filename", "model").join(built, "filename", "left").select(
+        "filename", "model", status.alias("status"), "dims", "n_rows")
 
 
 def _corpus_features(spark, sf, masked=False):
@@ -367,6 +493,20 @@ def _corpus_features(spark, sf, masked=False):
     return vectors.join(corpus.select("doc_id", "label"), "doc_id").withColumnRenamed("doc_id", "row_id")
 
 
+def _predicted(spark, sf):
+    """Every document with the label and probability by a classifier of the labelled ones."""
+    features, splits = prepare_data(_corpus_features(spark, sf, masked=True))
+    bundle = train_bundle(features, splits, LOGISTIC, "word_embeddings_64_average.csv", X.DIMS)
+    lookup = X.lookup(spark, sf)
+    return predict(X.documents(spark, sf), bundle, lambda t: embed_texts(t, X.TERMS, lookup, X.DIMS))
+
+
+@query("batch_predict_scores")
+def batch_predict_scores(spark, sf):
+    """Label, probability and confidence of every document that is not blank."""
+    return _predicted(spark, sf).select("doc_id", "prediction", "label_text", "probability", "confidence")
+
+
 @query("batch_predict", """
     SELECT doc_id, true AS labelled, true AS likely FROM documents WHERE trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> ''""")
 def batch_predict(spark, sf):
@@ -375,11 +515,7 @@ def batch_predict(spark, sf):
     It is fitted on the masked features of labelled documents after balancing.
     SQL checks that every text gets a label, and that the label is the likelier one.
     """
-    features, splits = prepare_data(_corpus_features(spark, sf, masked=True))
-    bundle = train_bundle(features, splits, LOGISTIC, "word_embeddings_64_average.csv", X.DIMS)
-    lookup = X.lookup(spark, sf)
-    scored = predict(X.documents(spark, sf), bundle, lambda t: embed_texts(t, X.TERMS, lookup, X.DIMS))
-    return scored.select(
+    return _predicted(spark, sf).select(
         "doc_id", F.col("label_text").isin("Positive (1)", "Control (0)").alias("labelled"),
         (F.col("probability") >= 0.5).alias("likely"))
 
@@ -391,26 +527,41 @@ _REPORTED = """
 
 
 def _forest_report(features):
-    """Fit on 70 % and report on 30 % of the rows: the classes and their test rows.
-
-    SQL checks the rows of the report; its scores are checked by the tests.
-    """
+    """Fit on 70 % of the rows and report on 30 %."""
     splits = holdout_splits(features, n=1, test=0.3, first_seed=42)
-    params = {"model": "Random Forest", "n_estimators": 100}
-    report = S.classification_report(M.fit_predict_splits(features, splits, params))
+    return S.classification_report(M.fit_predict_splits(features, splits, {"model": "Random Forest", "n_estimators": 100}))
+
+
+def _supports(report):
+    """The classes and their test rows: what SQL can check of a report."""
     return report.where(F.col("row").isin("0", "1")).select(F.col("row").alias("cls"), "support")
 
 
-@query("tfidf_forest", _REPORTED, ("corpus",))
-def tfidf_forest(spark, sf):
+def _tfidf_rows(spark, sf):
     docs = written(tfidf_tokens(X.corpus(spark, sf), X.STOP_WORDS), "tokens")
     rows = M.sparse_features(written(tfidf(docs), "weights"), docs.select("doc_id", "label"))
-    rows = written(rows.withColumnRenamed("doc_id", "row_id"), "features")
-    return _forest_report(rows)
+    return written(rows.withColumnRenamed("doc_id", "row_id"), "features")
+
+
+@query("tfidf_forest", _REPORTED, ("corpus",))
+def tfidf_forest(spark, sf):
+    return _supports(_forest_report(_tfidf_rows(spark, sf)))
+
+
+@query("tfidf_forest_report")
+def tfidf_forest_report(spark, sf):
+    """Precision, recall and F1 per class of a forest on TF-IDF, and their averages."""
+    return _forest_report(_tfidf_rows(spark, sf))
 
 
 @query("embedding_forest", _REPORTED, ("corpus",))
 def embedding_forest(spark, sf):
+    return _supports(_forest_report(written(_corpus_features(spark, sf), "features")))
+
+
+@query("embedding_forest_report")
+def embedding_forest_report(spark, sf):
+    """The same of a forest on document vectors."""
     return _forest_report(written(_corpus_features(spark, sf), "features"))
 
 

@@ -30,10 +30,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path under the shared folder that nothing else uses; ``keep``: beyond :func:`clear_scratch`."""
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if not keep:
+        _made.append(path)
     return path
 
 
@@ -57,8 +58,6 @@ def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
     that it can choose between broadcast and shuffle joins by itself.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    if keep:  # beyond clear_scratch()
-        _made.remove(path)
+    path = scratch_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
