@@ -31,6 +31,10 @@ OVERLAP, ANSWER = 0.6, 0.5
 BLOCK_ITEMS = 500  # items searched for at once: bounds what tasks are sent
 TERM_BLOCK = 512
 CHUNK = 100_000  # term hits a task works on at once
+PACKED = (
+    "ids array<long>, counts array<int>, places binary, doc binary, window binary, first binary, second binary, "
+    "start binary, term binary"
+)
 
 
 def plain(texts: list[str | None]) -> list[bytes]:
@@ -106,80 +110,128 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)  # as many rows as the items have words
     for row in rows:
         out[row.term] = row.n
+    shared.destroy()
     return out[:-1], int(out[-1])
 
 
-def term_hits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """``doc, places, terms``: where latent terms occur, for documents that have any."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = plain(batch.column(1).to_pylist()), batch.column(0)
-            for a, b in slices([len(t) for t in texts]):
-                words = Words(texts[a:b], SIGNS)
-                place, hit = found_in(shared.value, words.hash)
-                doc = np.repeat(np.arange(b - a), np.diff(words.first))
-                at = np.arange(len(words.hash)) - words.first[:-1][doc]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[hit], minlength=b - a))])
-                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x[hit].astype(np.int32))) for x in (at, place)]
-                out = pa.RecordBatch.from_arrays([ids.slice(a, b - a), *lists], names=["doc", "places", "terms"])
-                yield out.filter(pa.array(np.diff(offsets) > 0))
-
-    return docs.mapInArrow(find, "doc long, places array<int>, terms array<int>")
+class Passages:
+    """The passages of some documents as a sparse matrix of unit rows.
 
+    Passages are windows of two strides, so a hit counts in two of them. Hits are kept
+    by stride (cell): ``doc`` and ``window`` of every row, its ``first`` and ``second``
+    cell (-1: without a hit), where the hits of a cell ``start``, and their ``term``.
+    """
 
-class Passages:
-    """The passages of some documents as a sparse matrix of unit rows."""
-
-    def __init__(self, batch: pa.RecordBatch, weight: np.ndarray):
-        places, terms = batch.column(1), batch.column(2)
-        counts = np.diff(places.offsets.to_numpy())
-        doc = np.repeat(np.arange(len(counts)), counts)
-        place, term = places.flatten().to_numpy().astype(np.int64), terms.flatten().to_numpy()
-        window = place // STRIDE
-        # A word is in the window that begins in its stride and in the one before.
-        before = window > 0
-        doc, window = np.append(doc, doc[before]), np.append(window, window[before] - 1)
-        term = np.append(term, term[before])
-        order = np.lexsort((window, doc))
-        doc, window, self.term = doc[order], window[order], term[order]
+    STORED = tuple((name, np.int32) for name in ("doc", "window", "first", "second", "start", "term"))
+
+    def __init__(self, weight: np.ndarray, **arrays: np.ndarray):
+        self.__dict__.update(arrays)
+        self.value = weight[self.term]
+        ends = np.append(self.start[1:], len(self.term))
+        self.cell = np.repeat(np.arange(len(self.start)), ends - self.start)
+        squares = np.append(np.add.reduceat(self.value**2, self.start), 0)  # the last for cells without a hit
+        self.scale = (1 / np.sqrt(squares[self.first] + squares[self.second]))[:, None]
+        # The cells of a row lie side by side.
+        self.low = self.start[np.where(self.first < 0, self.second, self.first)]
+        self.high = ends[np.where(self.second < 0, self.first, self.second)]
+
+    @classmethod
+    def of(cls, places: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Passages:
+        doc, stride = np.repeat(np.arange(len(counts)), counts), places // STRIDE
         new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (window[1:] != window[:-1])
-        self.start = np.flatnonzero(new)
-        self.row = np.cumsum(new) - 1
-        self.doc, self.window = doc[self.start], window[self.start]
-        value = weight[self.term]
-        norm = np.sqrt(np.add.reduceat(value**2, self.start)) if len(value) else value
-        self.value = value / norm[self.row]
+        new[1:] = (doc[1:] != doc[:-1]) | (stride[1:] != stride[:-1])
+        start = np.flatnonzero(new)
+        doc, stride, cell = doc[start], stride[start], np.arange(len(start))
+        before = stride > 0
+        # Row and cell of every first and second half, then rows in order.
+        of = np.concatenate([doc, doc[before]]), np.concatenate([stride, stride[before] - 1])
+        half, cells = np.repeat([0, 1], [len(doc), before.sum()]), np.concatenate([cell, cell[before]])
+        order = np.lexsort((of[1], of[0]))
+        row_doc, row_window = of[0][order], of[1][order]
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = (row_doc[1:] != row_doc[:-1]) | (row_window[1:] != row_window[:-1])
+        row, halves = np.cumsum(head) - 1, np.full((2, head.sum()), -1)
+        halves[half[order], row] = cells[order]
+        return cls(weight, doc=row_doc[head], window=row_window[head], first=halves[0], second=halves[1], start=start, term=terms)
+
+    @classmethod
+    def stored(cls, row: dict, weight: np.ndarray) -> Passages:
+        return cls(weight, **{name: np.frombuffer(row[name], kind) for name, kind in cls.STORED})
 
     def times(self, matrix: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(matrix[self.term] * self.value[:, None], self.start, axis=0)
+        cells = np.add.reduceat(matrix[self.term] * self.value[:, None], self.start, axis=0)
+        cells = np.concatenate([cells, np.zeros((1, cells.shape[1]), cells.dtype)])
+        return (cells[self.first] + cells[self.second]) * self.scale
 
     def transposed_times(self, matrix: np.ndarray, out: np.ndarray) -> None:
         """Add the product of the transposed passages and ``matrix`` to ``out``."""
+        scaled = matrix * self.scale
+        cells = np.zeros((len(self.start) + 1, matrix.shape[1]), scaled.dtype)
+        cells[self.first] += scaled  # each cell is the first half of one row at most, and the second of one
+        cells[-1] = 0
+        cells[self.second] += scaled
         order = np.argsort(self.term, kind="stable")
         term = self.term[order]
         starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-        out[term[starts]] += np.add.reduceat(matrix[self.row[order]] * self.value[order][:, None], starts, axis=0)
+        sums = np.add.reduceat(cells[self.cell[order]], starts, axis=0)
+        out[term[starts]] += sums * self.value[order][starts, None]
+
+
+def passages_of(docs: DataFrame, terms: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """The passages that hold latent terms, packed: some documents with their hits in a row,
+    at most ``CHUNK`` hits or one document."""
+    shared = docs.sparkSession.sparkContext.broadcast((terms, weight))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weight = shared.value
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            ids, counts, places, found = (np.concatenate(x) for x in zip(*held))
+            passages = Passages.of(places, found, counts, weight)
+            columns = {"ids": pa.array([ids.tolist()], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int32())),
+                       "places": pa.array([places.astype(np.int32).tobytes()])}
+            for name, kind in Passages.STORED:
+                columns[name] = pa.array([getattr(passages, name).astype(kind).tobytes()])
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        for batch in batches:
+            texts, ids = plain(batch.column(1).to_pylist()), batch.column(0).to_numpy()
+            for a, b in slices([len(t) for t in texts]):
+                words = Words(texts[a:b], SIGNS)
+                place, hit = found_in(terms, words.hash)
+                doc = np.repeat(np.arange(b - a), np.diff(words.first))
+                at = np.arange(len(words.hash)) - words.first[:-1][doc]
+                counts = np.bincount(doc[hit], minlength=b - a)
+                some = counts > 0
+                if some.any():
+                    if held and size + counts.sum() > CHUNK:
+                        yield packed()
+                        held, size = [], 0
+                    held.append((ids[a:b][some], counts[some], at[hit], place[hit]))
+                    size += counts.sum()
+        if held:
+            yield packed()
+
+    return docs.mapInArrow(find, PACKED)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for a, b in slices(np.diff(batch.column(1).offsets.to_numpy()).tolist(), CHUNK):
-            yield batch.slice(a, b - a)
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def gram_times(hits: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+def gram_times(packed: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """The product of the passages' Gram matrix over terms with ``matrix``, summed by Spark."""
-    shared = hits.sparkSession.sparkContext.broadcast((weight, matrix.astype(np.float32)))
+    shared = packed.sparkSession.sparkContext.broadcast((weight, matrix.astype(np.float32)))
     width = matrix.shape[1]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, matrix = shared.value
         out = np.zeros(matrix.shape, dtype=np.float64)
-        for chunk in chunks(batches):
-            passages = Passages(chunk, weight)
+        for row in rows_of(batches):
+            passages = Passages.stored(row, weight)
             passages.transposed_times(passages.times(matrix), out)
         blocks = range(0, len(out), TERM_BLOCK)
         yield pa.RecordBatch.from_arrays([
@@ -191,49 +243,49 @@ def gram_times(hits: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.nd
         return pa.table({"first": table.column("first").slice(0, 1), "block": pa.array([total.tobytes()], pa.binary())})
 
     schema = "first int, block binary"
-    sums = hits.mapInArrow(multiply, schema).groupBy("first").applyInArrow(add, schema)
+    some = packed.select(*(name for name, _ in Passages.STORED))
+    sums = some.mapInArrow(multiply, schema).groupBy("first").applyInArrow(add, schema)
     out = np.zeros(matrix.shape)
     for row in sums.collect():  # terms times columns, whatever the number of passages
         block = np.frombuffer(bytes(row.block)).reshape(-1, width)
         out[row.first:row.first + len(block)] = block
+    shared.destroy()
     return out
 
 
-def latent_space(hits: DataFrame, weight: np.ndarray, rank: int = RANK, sketch: int = SKETCH, seed: int = 11) -> np.ndarray:
+def latent_space(packed: DataFrame, weight: np.ndarray, rank: int = RANK, sketch: int = SKETCH, seed: int = 11) -> np.ndarray:
     """A unit vector for every term, from the right singular vectors of the passages: a
     randomised range finder with a Rayleigh-Ritz step."""
     width = min(sketch, len(weight))
     basis = np.random.default_rng(seed).standard_normal((len(weight), width))
-    basis, _ = np.linalg.qr(gram_times(hits, weight, basis))
-    small = basis.T @ gram_times(hits, weight, basis)
+    basis, _ = np.linalg.qr(gram_times(packed, weight, basis))
+    small = basis.T @ gram_times(packed, weight, basis)
     _, vectors = np.linalg.eigh((small + small.T) / 2)
     space = basis @ vectors[:, ::-1][:, :rank]
     # Rare words load little on the first vectors; at unit length, each counts by its weight.
     return (space / np.maximum(np.linalg.norm(space, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
+def candidates(packed: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     """``doc, item, first, last``: neighbouring windows whose cosine with an item's part is high
     in the latent space, and not low in the space of terms, where the text around them
     holds enough of the item's words."""
     latent = items.parts @ space
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = hits.sparkSession.sparkContext.broadcast((items.weight, space, latent, items.parts, items.part_of, items.bounds))
+    shared = packed.sparkSession.sparkContext.broadcast((items.weight, space, latent, items.parts, items.part_of, items.bounds))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, space, latent, parts, part_of, bounds = shared.value
-        for chunk in chunks(batches):
-            passages = Passages(chunk, weight)
-            if not len(passages.start):
-                continue
+        for stored in rows_of(batches):
+            passages = Passages.stored(stored, weight)
             rows = passages.times(space)
             rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
             row, part = np.nonzero(rows @ latent.T >= COSINE)
-            ends = np.append(passages.start[1:], len(passages.term))
-            size = (ends - passages.start)[row]
+            size = (passages.high - passages.low)[row]
             pair = np.repeat(np.arange(len(row)), size)
-            entry = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + passages.start[row][pair]
+            entry = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + passages.low[row][pair]
             cosine = np.bincount(pair, parts[part[pair], passages.term[entry]] * passages.value[entry], minlength=len(row))
+            cosine *= passages.scale[row, 0]
             row, item = row[cosine >= EXACT_COSINE], part_of[part[cosine >= EXACT_COSINE]]
             order = np.lexsort((passages.window[row], item, passages.doc[row]))
             doc, item, window = passages.doc[row][order], item[order], passages.window[row][order]
@@ -241,8 +293,8 @@ def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (window[1:] > window[:-1] + 2)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc))[: len(first)] - 1
-            offsets = chunk.column(1).offsets.to_numpy()
-            places, terms = chunk.column(1).values.to_numpy(), chunk.column(2).values.to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(stored["counts"])])
+            places, terms = np.frombuffer(stored["places"], np.int32), passages.term
             possible = np.zeros(len(first), dtype=bool)
             for i, (f, e) in enumerate(zip(first, last)):
                 length, own, share, other = bounds[item[f]]
@@ -252,10 +304,13 @@ def candidates(hits: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
                 possible[i] = share[np.isin(own, terms[at[0]:at[1]])].sum() + other >= OVERLAP - 1e-6
             first, last = first[possible], last[possible]
             yield pa.RecordBatch.from_arrays(
-                [chunk.column(0).take(pa.array(doc[first])), pa.array(item[first]), pa.array(window[first]), pa.array(window[last])], names=["doc", "item", "first", "last"]
+                [pa.array(np.array(stored["ids"])[doc[first]]), pa.array(item[first]), pa.array(window[first].astype(np.int64)),
+                 pa.array(window[last].astype(np.int64))], names=["doc", "item", "first", "last"]
             )
 
-    return hits.mapInArrow(search, "doc long, item long, first long, last long")
+    found = materialised(packed.mapInArrow(search, "doc long, item long, first long, last long"), "candidates")
+    shared.destroy()
+    return found
 
 
 def region_of(first: int, last: int, length: int) -> tuple[int, int]:
@@ -315,10 +370,9 @@ def leaks(docs: DataFrame, benchmark: list[tuple[int, str]]) -> DataFrame:
     if not items.ids:
         return docs.sparkSession.createDataFrame([], "doc long, item_id long, overlap double, answer double")
     items.weigh(*document_frequency(docs, items.vocabulary))
-    hits = materialised(term_hits(docs, items.terms), "hits")
-    space = latent_space(hits, items.weight)
-    found = materialised(candidates(hits, items, space), "candidates")
-    return confirmed(docs, found, items)
+    packed = materialised(passages_of(docs, items.terms, items.weight), "passages")
+    space = latent_space(packed, items.weight)
+    return confirmed(docs, candidates(packed, items, space), items)
 
 
 def decontaminate(
@@ -348,10 +402,10 @@ def decontaminate(
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         some = leaks(docs, sorted((r.item_id, r.text) for r in own.collect()))
         found = some if found is None else found.unionByName(some)
-    best = F.max(F.struct("overlap", (-F.col("item_id")).alias("negative"), "answer")).alias("best")
+    best = F.max(F.struct("overlap", F.bitwise_not("item_id").alias("turned"), "answer")).alias("best")
     judged = materialised(found, "leaks").groupBy("doc").agg(best, F.countDistinct("item_id").alias("n_items"))
     return docs.select("doc").join(judged, "doc", "left").select(
         F.when(F.col("doc") != nothing, F.col("doc")).alias("doc_id"), F.col("n_items").isNotNull().alias("contaminated"),
-        (-F.col("best.negative")).alias("item_id"), F.col("best.overlap").alias("overlap"),
+        F.bitwise_not("best.turned").alias("item_id"), F.col("best.overlap").alias("overlap"),
         F.col("best.answer").alias("answer"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
     )
