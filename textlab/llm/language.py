@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)  # of UTF-8 bytes, with a space on both sides
 SMOOTHING = 0.5
 SWITCH = 6.0  # log-odds a word must bring to change the language
-WORK = 8 << 20  # bytes of text times languages that are followed together
+WORK = 8 << 20  # bytes of text times languages that are followed together, at most
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")  # also of numbers that are no digits, such as fractions
 #: First code points of Unicode's ranges of letters, and the script from there on.
@@ -144,6 +145,29 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     return (scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
 
 
+class ScoredWords:
+    """Scores of words, kept for the texts to come: a task computes those of a frequent word once."""
+
+    MOST = 1 << 20  # words times languages that are kept, and those of one slice besides
+
+    def __init__(self, model: Model):
+        self.model, self.numbers, self.scores, self.letters = model, {}, None, None
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores and the number of letters of every word."""
+        if len(self.numbers) * len(self.model.languages) > self.MOST:
+            self.numbers, self.scores = {}, None
+        numbers, before = self.numbers, len(self.numbers)
+        flat = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
+        new = list(islice(numbers, before, None))
+        if new:
+            scores, letters = word_scores(new, self.model), np.array([len(w) for w in new])
+            kept = self.scores is not None
+            self.scores = np.concatenate([self.scores, scores]) if kept else scores
+            self.letters = np.concatenate([self.letters, letters]) if kept else letters
+        return self.scores[flat], self.letters[flat]
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     """The best language of every word: least loss, where each change costs ``switch``.
 
@@ -194,34 +218,36 @@ def identify(
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         languages = np.array(known.languages, dtype=object)
+        most = min(SLICE_BYTES, WORK // max(1, len(languages)))
+        scored = ScoredWords(known)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            predicted, score, parts = [], [], []
-            for a, b in slices([len(t or "") for t in texts], min(4 * SLICE_BYTES, WORK // max(1, len(languages)))):
-                found = [words_of(t) if len(languages) else [] for t in texts[a:b]]
+            predicted, score, parts = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+            # Texts of similar length together: their words are followed side by side.
+            order = sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))
+            for a, b in slices([len(texts[i] or "") for i in order], most):
+                rows = order[a:b]
+                found = [words_of(texts[i]) if len(languages) else [] for i in rows]
                 first = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
-                numbers: dict[str, int] = {}
-                flat = np.array([numbers.setdefault(w, len(numbers)) for ws in found for w in ws], dtype=np.int64)
-                if len(flat):
-                    unique = list(numbers)
-                    labels = viterbi(word_scores(unique, known)[flat], first, switch)
-                    letters = np.array([len(w) for w in unique])[flat]
+                if not first[-1]:
+                    continue
+                scores, letters = scored.of([w for ws in found for w in ws])
+                labels = viterbi(scores, first, switch)
                 text_of = np.repeat(np.arange(b - a), np.diff(first))
-                amount = np.zeros((b - a, max(1, len(languages))))
-                if len(flat):
-                    np.add.at(amount, (text_of, labels), letters)
-                top, all_letters = amount.argmax(axis=1), amount.sum(axis=1)
-                for i in range(b - a):
-                    known_text = all_letters[i] > 0
-                    predicted.append(languages[top[i]] if known_text else UNKNOWN)
-                    score.append(amount[i, top[i]] / all_letters[i] if known_text else 0.0)
+                amount = np.bincount(text_of * len(languages) + labels, letters, minlength=(b - a) * len(languages))
+                amount = amount.reshape(b - a, len(languages))
+                top, whole = amount.argmax(axis=1), amount.sum(axis=1)
+                for i, row in enumerate(rows):
+                    if not whole[i]:
+                        continue
+                    predicted[row], score[row] = languages[top[i]], amount[i, top[i]] / whole[i]
                     if spans:
-                        own = labels[first[i]:first[i + 1]] if len(flat) else np.zeros(0, dtype=np.int64)
+                        own = labels[first[i]:first[i + 1]]
                         cut = np.flatnonzero(np.diff(own, prepend=-1))
                         ends = np.append(cut[1:], len(own))
-                        parts.append([
+                        parts[row] = [
                             {"lang": languages[own[c]], "first": int(c), "words": int(e - c)} for c, e in zip(cut, ends)
-                        ])
+                        ]
             columns = [batch.column(0), *(batch.column(2 + i) for i in range(len(keep))),
                        pa.array(predicted, pa.string()), pa.array(score, pa.float64())]
             if spans:
