@@ -67,9 +67,11 @@ def join_variants(spark, sf):
     FROM letter_words t JOIN word_vectors v ON v.word = t.word GROUP BY t.doc_id""",
     ("letter_words", "word_vectors"))
 def join_token_vectors(spark, sf):
-    tokens = W.token_vectors(W.document_tokens(X.documents(spark, sf)), X.word_vectors(spark, sf))
-    return tokens.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_known"), F.round(F.sum(F.get("vector", F.lit(0))), 6).alias("first_sum"))
+    # Words are counted where a document is read: a row for each word of it moves, not one for each token.
+    counted = W.document_tokens(X.documents(spark, sf)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    known = W.token_vectors(counted, X.word_vectors(spark, sf))
+    return known.groupBy("doc_id").agg(
+        F.sum("n").alias("n_known"), F.round(F.sum(F.col("n") * F.get("vector", F.lit(0))), 6).alias("first_sum"))
 
 
 @query("join_token_lemma", """
@@ -77,8 +79,10 @@ def join_token_vectors(spark, sf):
     FROM letter_words t JOIN word_vectors v ON v.word = t.word LEFT JOIN lemmas l ON l.word = t.word
     GROUP BY 1""", ("letter_words", "word_vectors", "lemmas"))
 def join_token_lemma(spark, sf):
-    known = W.known_tokens(W.document_tokens(X.documents(spark, sf)), X.word_vectors(spark, sf))
-    return W.lemmatize(known, X.lemmas(spark, sf)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # A word is looked up once, however often it occurs.
+    counted = W.document_tokens(X.documents(spark, sf)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = W.known_tokens(counted, X.word_vectors(spark, sf))
+    return W.lemmatize(known, X.lemmas(spark, sf)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @query("anti_join_seen_authors", """

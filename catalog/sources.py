@@ -27,6 +27,17 @@ def scan_corpus(spark, sf):
         F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+@query("scan_text_files", """
+    SELECT 'post_' || doc_id AS name, length(text) AS n_chars, md5(text) AS digest FROM corpus""", ("corpus",))
+def scan_text_files(spark, sf):
+    """The labelled documents as text files, one for each, and read again."""
+    path = scratch_path(spark, "texts")
+    named = X.corpus(spark, sf).select(F.concat(F.lit("post_"), F.col("doc_id").cast("string")).alias("name"), "text")
+    writers.write_named_texts(named, path)
+    return readers.read_named_texts(spark, path).select(
+        "name", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @query("scan_terms", """
     SELECT DISTINCT lower(trim(title)) AS term FROM posts WHERE trim(title) <> ''""", ("posts",))
 def scan_terms(spark, sf):

@@ -15,6 +15,13 @@ def test_text_folder(spark, tmp_path):
     assert {tuple(r) for r in got} == {("post_1", "one\ntwo\n", 1, "masked"), ("post_2", "é", 1, "masked")}
 
 
+def test_named_texts(spark, tmp_path):
+    rows = [("post_1", "one\ntwo\n"), ("post_2", ""), ("post_3", "\r\n é "), ("a b=c%", "x")]
+    path = str(tmp_path / "texts")
+    writers.write_named_texts(spark.createDataFrame(rows, "name string, text string"), path)
+    assert sorted(map(tuple, readers.read_named_texts(spark, path).collect())) == sorted(rows)
+
+
 def test_term_list(spark, tmp_path):
     (tmp_path / "terms.txt").write_text(" Red Oak\nred oak\n\n   \nPine", encoding="utf-8")
     path = str(tmp_path / "terms.txt")

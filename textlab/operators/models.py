@@ -33,6 +33,7 @@ from textlab.session import written
 SEED = 42
 TOLERANCE = 1e-4  # a fit stops when an iteration gains less, at ``max_iter`` at the latest
 PARALLEL_FITS = 4
+PART_ROWS = 10_000  # training rows of a task at least
 
 
 def build_classifier(params: Mapping, n_rows: int, dims: int, max_iter: int = 1000):
@@ -79,7 +80,9 @@ def fit(train: DataFrame, params: Mapping, dims: int | None = None, max_iter: in
     try:
         n_rows = train.count()
         dims = dims or train.first()["features"].size
-        return build_classifier(params, n_rows, dims, max_iter).fit(train)
+        # A fit runs many short jobs: few rows go to few tasks.
+        packed = train.coalesce(-(-max(1, n_rows) // PART_ROWS))
+        return build_classifier(params, n_rows, dims, max_iter).fit(packed)
     finally:
         train.unpersist()
 

@@ -27,6 +27,16 @@ def read_corpus(
     return out if variant is None else out.withColumn("variant", F.lit(variant))
 
 
+def read_named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``name, text`` of a folder by :func:`~textlab.sources.writers.write_named_texts`.
+
+    Spark packs many small files into one task by their size and
+    ``spark.sql.files.openCostInBytes``, so tasks are as large as those of few large files.
+    """
+    files = spark.read.schema("value string, name string").text(path, wholetext=True, pathGlobFilter="*.txt")
+    return files.select("name", F.substring("value", F.lit(1), F.length("value") - 1).alias("text"))
+
+
 def read_documents(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Documents in Parquet, in the splits of the scan or in so many ``partitions``.
 

@@ -60,3 +60,11 @@ def write_error_report(report: DataFrame, path: str) -> None:
         .select("label", "variant", F.expr("left(section, length(section) - 1)").alias("section"))
         .write.partitionBy("label", "variant").option("lineSep", "\n").text(path)
     )
+
+
+def write_named_texts(docs: DataFrame, path: str) -> None:
+    """A ``.txt`` file for each row of ``docs(name, text)``, in a folder by its name; names are unique.
+
+    The text is followed by one line feed.
+    """
+    docs.select("name", "text").write.partitionBy("name").text(path)
