@@ -6,9 +6,11 @@ a slice is at most ``SLICE_BYTES`` or one document long.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -105,6 +107,17 @@ def slices(sizes: Sequence[int], most: int = SLICE_BYTES) -> Iterator[tuple[int,
         held += size
     if start < len(sizes):
         yield start, len(sizes)
+    release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers live on from stage to stage, and
+    would keep what their largest slice took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
