@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.arrays import SIGNS, U, Words, slices
+from textlab.llm.arrays import SIGNS, U, Words, release, slices
 from textlab.llm.batches import materialised
 from textlab.llm.blooms import might_contain
 
@@ -30,7 +30,7 @@ COSINE, EXACT_COSINE = 0.4, 0.25
 OVERLAP, ANSWER = 0.6, 0.5
 BLOCK_ITEMS = 500  # items searched for at once: bounds what tasks are sent
 TERM_BLOCK = 512
-CHUNK = 100_000  # term hits a task works on at once
+CHUNK = 25_000  # term hits a task works on at once
 PACKED = (
     "ids array<long>, counts array<int>, places binary, doc binary, window binary, first binary, second binary, "
     "start binary, term binary"
@@ -220,6 +220,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+        release()
 
 
 def gram_times(packed: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
