@@ -493,12 +493,17 @@ def _corpus_features(spark, sf, masked=False):
     return vectors.join(corpus.select("doc_id", "label"), "doc_id").withColumnRenamed("doc_id", "row_id")
 
 
+def masked_bundle(spark, sf):
+    """A classifier of the labelled documents, fitted on their masked features after balancing."""
+    features, splits = prepare_data(_corpus_features(spark, sf, masked=True))
+    return train_bundle(features, splits, LOGISTIC, "word_embeddings_64_average.csv", X.DIMS)
+
+
 def _predicted(spark, sf):
     """Every document with the label and probability by a classifier of the labelled ones."""
-    features, splits = prepare_data(_corpus_features(spark, sf, masked=True))
-    bundle = train_bundle(features, splits, LOGISTIC, "word_embeddings_64_average.csv", X.DIMS)
     lookup = X.lookup(spark, sf)
-    return predict(X.documents(spark, sf), bundle, lambda t: embed_texts(t, X.TERMS, lookup, X.DIMS))
+    return predict(
+        X.documents(spark, sf), masked_bundle(spark, sf), lambda t: embed_texts(t, X.TERMS, lookup, X.DIMS))
 
 
 @query("batch_predict_scores")

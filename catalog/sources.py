@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
@@ -14,7 +16,7 @@ from textlab.operators.sampling import holdout_splits
 from textlab.plans.features import with_variants
 from textlab.plans.predict import train_bundle
 from textlab.session import scratch_path
-from textlab.sources import readers, writers
+from textlab.sources import published, readers, writers
 from textlab.sources.bundles import load_bundle, save_bundle
 
 
@@ -109,6 +111,18 @@ def incremental_append(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("concurrent_append", "SELECT filename, model FROM results", ("results",))
+def concurrent_append(spark, sf):
+    """Two writers of overlapping files at once, and one of them again; each file is stored by one."""
+    rows = X.results(spark, sf).select("filename", "model", "f1")
+    path = scratch_path(spark, "published")
+    parts = {"some": rows.where(F.col("filename").startswith("transformer/")), "all": rows}
+    with ThreadPoolExecutor(2) as writers_at_once:
+        list(writers_at_once.map(lambda run: published.append_published(parts[run], path, run=run), parts))
+    published.append_published(rows, path, run="all")
+    return published.read_published(spark, path).select("filename", "model")
+
+
 @query("write_evaluation", """
     SELECT filename, round(avg(f1), 6) AS mean_f1 FROM results GROUP BY filename""", ("results",))
 def write_evaluation(spark, sf):

@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 QUICK = (
     "scan_terms match_phrase_near_term theta_join_text_terms corpus_stats history_order cohort_positive "
     "cohort_control mask_terms tokenize_alnum tfidf vector_running_mean knn_self_join stratified_folds "
-    "pivot_scores custom_order concat_error_report stream_mask_score"
+    "pivot_scores custom_order concat_error_report stream_mask_score concurrent_append"
 ).split()
 
 

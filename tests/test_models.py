@@ -12,7 +12,7 @@ from textlab.plans.experiments import variant_experiment
 from textlab.plans.predict import embed_texts, predict, train_bundle
 from textlab.operators.vectors import vector_lookup
 from textlab.sources.bundles import load_bundle, save_bundle
-from textlab.streaming.scoring import mask_and_score_stream, stream_documents
+from textlab.streaming.scoring import first_arrivals, mask_and_score_stream, stream_documents
 
 LOGISTIC = {"model": "Logistic Regression", "c": 10.0, "penalty": "l2", "class_weight": "balanced"}
 FOREST = {"model": "Random Forest", "n_estimators": 5, "max_features": "log2", "criterion": "entropy"}
@@ -95,6 +95,21 @@ def test_bundle_batch_and_stream(spark, tmp_path):
     assert streamed == batch
 
 
+def test_documents_that_arrive_twice(spark, tmp_path):
+    """In one batch, in another, and after a restart."""
+    folder, sink, log = (str(tmp_path / n) for n in ("incoming", "sink", "log"))
+    schema = "doc_id bigint, at timestamp"
+    for ids in ([1, 1, 2, None], [2, 3, None], [3, 1, 4]):
+        rows = spark.createDataFrame([(i,) for i in ids], "doc_id bigint").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+        rows.write.mode("append").parquet(folder)
+        source = first_arrivals(stream_documents(spark, folder, schema))
+        mask_and_score_stream(source, lambda batch: batch, sink, log).awaitTermination()
+    assert sorted(r["doc_id"] or 0 for r in spark.read.parquet(sink).collect()) == [0, 1, 2, 3, 4]
+    timed = first_arrivals(stream_documents(spark, folder, schema), time="at")
+    mask_and_score_stream(timed, lambda batch: batch, str(tmp_path / "s2"), str(tmp_path / "l2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "s2")).count() == 5
+
+
 def test_variant_experiment_with_a_classifier(spark):
     rng = np.random.default_rng(2)
     rows = [(i, v, rng.normal(3.0 * (i % 4 == 0), 1.0, 2).tolist(), int(i % 4 == 0))

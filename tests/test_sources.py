@@ -1,10 +1,13 @@
 """Readers and writers."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
 from pyspark.sql import functions as F
 
 from textlab.operators import report as R
 from textlab.session import scratch_path, written
-from textlab.sources import readers, writers
+from textlab.sources import published, readers, writers
 
 
 def test_text_folder(spark, tmp_path):
@@ -61,6 +64,56 @@ def test_resume(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1.0), ("b", 2.0)]
 
 
+ROWS = "filename string, f1 double"
+
+
+def test_published_appends(spark, tmp_path):
+    path = str(tmp_path / "table")
+    frame = lambda *rows: spark.createDataFrame(rows, ROWS)
+    stored = lambda: sorted(map(str, published.read_published(spark, path).collect()))
+    assert published.read_published(spark, path) is None
+    assert published.append_published(frame(), path, run="none") == 0 and stored() == []
+    assert published.append_published(frame(("a", 1.0), ("a", 2.0), (None, 0.0)), path, run="first") == 1
+    assert published.append_published(frame(("c", 5.0)), path, run="first") == 1  # the same run again
+    assert published.append_published(frame(("a", 9.0), (None, 9.0), ("b", 3.0)), path) == 2
+    assert stored() == sorted(map(str, frame(("a", 1.0), ("a", 2.0), (None, 0.0), ("b", 3.0)).collect()))
+
+
+def test_a_failed_append_leaves_nothing(spark, tmp_path):
+    path, mark = str(tmp_path / "table"), tmp_path / "failed"
+    published.append_published(spark.createDataFrame([("a", 1.0)], ROWS), path)
+
+    def rows(batches):
+        for batch in batches:
+            if not mark.exists():
+                mark.write_text("once")
+                raise ValueError("lost")
+            yield batch
+
+    more = spark.createDataFrame([("b", 2.0)], ROWS).mapInArrow(rows, ROWS)
+    with pytest.raises(Exception, match="lost"):
+        published.append_published(more, path, run="b")
+    assert [r.filename for r in published.read_published(spark, path).collect()] == ["a"]
+    published.append_published(more, path, run="b")
+    assert sorted(r.filename for r in published.read_published(spark, path).collect()) == ["a", "b"]
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "table")
+    frames = [spark.createDataFrame([("all", float(i)), (f"own{i}", float(i))], ROWS) for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda f: published.append_published(f, path), frames))
+    assert sorted(numbers) == [0, 1, 2, 3]
+    names = sorted(r.filename for r in published.read_published(spark, path).collect())
+    assert names == ["all", "own0", "own1", "own2", "own3"]
+
+
+def test_only_one_writer_gets_a_number(spark, tmp_path):
+    path = str(tmp_path / "table")
+    got = [published._publish(spark, path, 0, {"run": str(i), "folder": "x", "schema": ""}) for i in range(3)]
+    assert got == [True, False, False] and [e["run"] for e in published.log_entries(spark, path)] == ["0"]
+
+
 def test_error_report_file(spark, tmp_path):
     texts = [f"post_{i}:\nx{'y' * i}\n\n---\n" for i in range(30)]
     starts = [sum(map(len, texts[:i])) for i in range(30)]

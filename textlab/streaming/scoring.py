@@ -2,7 +2,7 @@
 
 The per-row steps are those of the batch plan. Word-vector aggregates are per
 document, so they run inside each micro-batch; a document is one row and never
-spans two of them.
+spans two of them. A document that arrives twice is known from the state store.
 """
 
 from __future__ import annotations
@@ -18,6 +18,18 @@ def stream_documents(spark: SparkSession, path: str, schema, max_files: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def first_arrivals(source: DataFrame, key: str = "doc_id", time: str | None = None, late: str = "1 day") -> DataFrame:
+    """Each key once, over all micro-batches and restarts.
+
+    The state holds every key seen; with an event ``time`` only those of the last
+    ``late``, so that it stays bounded in a stream that never ends, and a
+    key that comes again later than that is new. Null keys count as one.
+    """
+    if time is None:
+        return source.dropDuplicates([key])
+    return source.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
 def mask_and_score_stream(
     source: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str
 ) -> StreamingQuery:
