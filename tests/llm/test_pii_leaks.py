@@ -83,6 +83,52 @@ def test_many_other_forms_are_found_and_no_negatives(spark):
     assert not wrong and len(missed) <= 0.02 * len(want), [(rows[d][1], got[d], want[d]) for d in missed[:5] + wrong[:5]]
 
 
+def test_numbers_that_are_no_data_are_left_alone(spark):
+    """Build and order numbers, dates, ISBNs, amounts and sections next to phones in other forms."""
+    rng = random.Random(21)
+    number = lambda k: str(rng.randint(1, 9)) + "".join(rng.choices("0123456789", k=k - 1))
+    rows, want, negatives = [], {}, set()
+
+    def put(text, span, found):
+        start, doc = prose(rng, 6) + " " + text, len(rows)
+        rows.append((doc, f"{start}{span} {prose(rng, 5)}"))
+        if found:
+            want[doc] = f"phone:{len(start)}:{len(start) + len(span)}"
+        else:
+            negatives.add(doc)
+
+    for i in range(200):
+        put("call ", f"+1 555 {number(3)} {number(4)}", True)
+    for i in range(60):
+        put("call ", f"1 555 {number(3)} {number(4)}", True)
+        put("", f"555-{number(3)}-{number(4)}", True)
+        put("build ", number(9), False)
+        put("", number(9), False)
+        put("shipped as order ", number(10), False)
+        put("on ", f"20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", False)
+        while True:  # one that is not a card's number as well
+            body = "978" + number(9)
+            check = next(d for d in "0123456789" if pii.isbn(body + d))
+            if not pii.luhn(body + check):
+                break
+        put("ISBN ", f"{body[:3]}-{body[3]}-{body[4:6]}-{body[6:]}-{check}", False)
+        put("total $", f"{number(2)} {number(3)} {number(3)}", False)
+        put("from ", f"19{rng.randint(10, 99)}-20{rng.randint(10, 24)}", False)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows, "doc_id long, text string")).collect()}
+    wrong = [rows[d][1] for d in negatives if got[d]]
+    missed = [rows[d][1] for d, w in want.items() if got[d] != w]
+    assert len(wrong) <= 0.02 * len(negatives) and len(missed) <= 0.1 * len(want), (len(wrong), wrong[:4], len(missed), missed[:4])
+
+
+def test_decoys_repeat_and_pass_as_numbers():
+    assert pii.decoys("+1 555 0100", 3) == pii.decoys("+1 555 0100", 3)
+    assert all(pii.luhn(re.sub("[^0-9]", "", form)) for _, form in pii.decoys("4111 1111 1111 1111", 2))
+    assert pii.isbn("9783161484100") and not pii.isbn("9783161484101")
+    for dated in ("2024-01-15", "15.01.2024", "2024-01-15 10:30:59", "1998-2004"):
+        assert pii.DATE.fullmatch(dated) and not pii.passes(dated, 3, 0, len(dated))
+    assert not pii.DATE.fullmatch("555-321-4321")
+
+
 def test_kinds_without_exact_spans_get_additions(spark):
     rows = [(i, f"notes of day {i}: write to ann{chr(97 + i % 26)} (at) mail (dot) org for more") for i in range(40)]
     got = pii.find_personal_data(table(spark, rows, "doc_id long, text string")).collect()
