@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import corpus, prose, table
@@ -168,6 +169,21 @@ def bench():
     return [(i, own()) for i in range(25)]
 
 
+def test_words_and_their_counts(spark):
+    texts = ["", "red oak, red-oak", "éa aé", "  ", "ab ba " * 3, "x" * 70_000 + " x", "oak"]
+    words = decontaminate.Words(decontaminate.plain(texts))
+    split = [re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", t) for t in texts]
+    assert np.diff(words.first).tolist() == [len(w) for w in split]
+    of = dict(zip(sum(split, []), words.hash.tolist()))
+    assert [of[w] for w in sum(split, [])] == words.hash.tolist() and len(set(of.values())) == len(of)
+    assert decontaminate.Words([]).hash.tolist() == [] and decontaminate.Words([b""]).first.tolist() == [0, 0]
+    vocabulary = np.unique(words.hash)
+    docs = table(spark, [(i, t) for i, t in enumerate([*texts, None])], "doc long, text string")
+    counts, n = decontaminate.document_frequency(docs, vocabulary)
+    assert n == len(texts) + 1
+    assert dict(zip(vocabulary.tolist(), counts.tolist())) == {h: sum(w in s for s in split) for w, h in of.items()}
+
+
 def test_planted_leaks(spark, bench):
     rng = random.Random(11)
     docs = [(i, prose(rng, 150)) for i in range(150)]

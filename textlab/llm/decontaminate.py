@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.arrays import SIGNS, U, Words, release, slices
+from textlab.llm.arrays import BYTES, SIGNS, U, joined, mix, release, slices
 from textlab.llm.batches import materialised
 from textlab.llm.blooms import might_contain
 
@@ -30,7 +30,9 @@ COSINE, EXACT_COSINE = 0.4, 0.25
 OVERLAP, ANSWER = 0.6, 0.5
 BLOCK_ITEMS = 500  # items searched for at once: bounds what tasks are sent
 TERM_BLOCK = 512
+CELLS = 1 << 22  # documents times words that are counted at once, or one document
 CHUNK = 25_000  # term hits a task works on at once
+LETTERS, STEP = ~SIGNS, U(0x9E3779B97F4A7C15)
 PACKED = (
     "ids array<long>, counts array<int>, places binary, doc binary, window binary, first binary, second binary, "
     "start binary, term binary"
@@ -41,11 +43,35 @@ def plain(texts: list[str | None]) -> list[bytes]:
     return [(t or "").lower().encode("utf-8", "replace") for t in texts]
 
 
+class Words:
+    """The words of some texts: their ``hash``, and ``first``, the index of each text's first
+    word (one more entry for the end).
+
+    A word's hash is the sum of scrambled letters and places, which needs no sums over
+    the whole text and no second hash: letters that change places change it.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        data, starts = joined([t + b" " for t in texts])
+        inside = LETTERS[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(data) and inside[0]:
+            edges = np.concatenate([[0], edges])
+        start, length = edges[::2], edges[1::2] - edges[::2]  # every text ends outside a word
+        self.first = np.searchsorted(start, starts)
+        head = np.cumsum(length) - length
+        place = np.arange(length.sum()) - np.repeat(head, length)
+        letters = BYTES[data[inside]] + place.astype(U) * STEP
+        letters = (letters ^ (letters >> U(32))) * U(0xBF58476D1CE4E5B9)
+        letters ^= letters >> U(29)
+        self.hash = mix(np.add.reduceat(letters, head)) if len(head) else np.zeros(0, dtype=U)
+
+
 class Items:
     """Benchmark items as word hashes, and what is known of their words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        words = Words(plain([t for _, t in rows]), SIGNS)
+        words = Words(plain([t for _, t in rows]))
         every = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.ids = [i for (i, _), w in zip(rows, every) if len(w)]
         self.words = [w for w in every if len(w)]
@@ -98,11 +124,16 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
             texts = plain(batch.column(1).to_pylist())
             total[-1] += len(texts)
             for a, b in slices([len(t) for t in texts]):
-                words = Words(texts[a:b], SIGNS)
+                words = Words(texts[a:b])
                 place, hit = found_in(known, words.hash)
                 doc = np.repeat(np.arange(b - a), np.diff(words.first))
-                pairs = np.unique(doc[hit] * len(known) + place[hit])
-                total[:-1] += np.bincount(pairs % len(known), minlength=len(known))
+                doc, place = doc[hit], place[hit]
+                step = max(1, CELLS // len(known))
+                for low in range(0, b - a, step):
+                    held = np.zeros((min(step, b - a - low), len(known)), dtype=bool)
+                    some = slice(*np.searchsorted(doc, (low, low + step)))
+                    held[doc[some] - low, place[some]] = True
+                    total[:-1] += np.count_nonzero(held, axis=0)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
@@ -198,7 +229,7 @@ def passages_of(docs: DataFrame, terms: np.ndarray, weight: np.ndarray) -> DataF
         for batch in batches:
             texts, ids = plain(batch.column(1).to_pylist()), batch.column(0).to_numpy()
             for a, b in slices([len(t) for t in texts]):
-                words = Words(texts[a:b], SIGNS)
+                words = Words(texts[a:b])
                 place, hit = found_in(terms, words.hash)
                 doc = np.repeat(np.arange(b - a), np.diff(words.first))
                 at = np.arange(len(words.hash)) - words.first[:-1][doc]
@@ -341,7 +372,7 @@ def confirmed(docs: DataFrame, found: DataFrame, items: Items) -> DataFrame:
             rows = []
             texts = plain(batch.column(1).to_pylist())
             for a, b in slices([len(t) for t in texts]):
-                words = Words(texts[a:b], SIGNS)
+                words = Words(texts[a:b])
                 for i in range(a, b):
                     own = words.hash[words.first[i - a]:words.first[i - a + 1]]
                     for place in batch.column(2)[i].as_py():
