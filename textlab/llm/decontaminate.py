@@ -215,6 +215,8 @@ def passages_of(docs: DataFrame, terms: np.ndarray, weight: np.ndarray) -> DataF
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weight = shared.value
+        prefixes = np.zeros(1 << 16, dtype=bool)
+        prefixes[terms >> U(48)] = True
         held, size = [], 0
 
         def packed() -> pa.RecordBatch:
@@ -230,16 +232,17 @@ def passages_of(docs: DataFrame, terms: np.ndarray, weight: np.ndarray) -> DataF
             texts, ids = plain(batch.column(1).to_pylist()), batch.column(0).to_numpy()
             for a, b in slices([len(t) for t in texts]):
                 words = Words(texts[a:b])
-                place, hit = found_in(terms, words.hash)
-                doc = np.repeat(np.arange(b - a), np.diff(words.first))
-                at = np.arange(len(words.hash)) - words.first[:-1][doc]
-                counts = np.bincount(doc[hit], minlength=b - a)
+                at = np.flatnonzero(prefixes[words.hash >> U(48)])  # most words are no latent terms
+                place, hit = found_in(terms, words.hash[at])
+                at, place = at[hit], place[hit]
+                doc = np.searchsorted(words.first, at, side="right") - 1
+                counts = np.bincount(doc, minlength=b - a)
                 some = counts > 0
                 if some.any():
                     if held and size + counts.sum() > CHUNK:
                         yield packed()
                         held, size = [], 0
-                    held.append((ids[a:b][some], counts[some], at[hit], place[hit]))
+                    held.append((ids[a:b][some], counts[some], at - words.first[doc], place))
                     size += counts.sum()
         if held:
             yield packed()
