@@ -12,6 +12,8 @@ Rounds with ever more centres go on until no untested pair between components
 is left, so no link between different components is lost. Shingles that no other
 set holds bound the similarities of a document from above: heavily edited copies,
 linked with nothing, need not be compared with their whole group to know that.
+So do odd sketches, which bound from below in how many shingles two sets differ:
+of a large group, few pairs but the links themselves are ever compared.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,7 @@ BANDS, ROWS = 32, 4  # a pair at the threshold misses every band with probabilit
 BATCH, MISS = 16, 1e-9  # hashes compared at a time; probability of giving up a pair that is similar enough
 CENTRES = 8  # each round has so many times the centres of the one before
 PART_SHINGLES = 1 << 20  # shingles that one task counts, at most
+SKETCH_WORDS = 16  # 64-bit words of an odd sketch
 MANY = -(1 << 63)  # stands for more than one document
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -75,6 +80,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.T.copy()
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, as 64-bit words: whether an odd number of its shingles falls on a bit.
+
+    Shared shingles cancel out between two rows, so sets differ in at least as many
+    shingles as their rows in bits.
+    """
+    bits = 64 * SKETCH_WORDS
+    out = np.zeros((len(sets), bits), dtype=bool)
+    for row, one in zip(out, sets):
+        row[:] = np.bincount((mix(one) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def least_matches(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
     """The fewest of ``n`` equal hashes with which a pair goes on.
 
@@ -91,7 +109,7 @@ def least_matches(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> i
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc, n_shingles, set_id, signature, bands``: signature and band keys are null for empty sets."""
+    """``doc, n_shingles, set_id, signature, bands, sketch``: the last three are null for empty sets."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,17 +121,20 @@ def described(docs: DataFrame) -> DataFrame:
                 bands = np.zeros((len(some), BANDS), dtype=U)
                 for r in range(ROWS):
                     bands = mix(bands + rows[:, r::ROWS].astype(U))
-                keys, sign, ids = [None] * (b - a), [None] * (b - a), [None] * (b - a)
+                odd = odd_sketches([sets[i] for i in some])
+                keys, sign, ids, sketch = ([None] * (b - a) for _ in range(4))
                 for row, i in enumerate(some):
                     ids[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     sign[i], keys[i] = rows[row].tobytes(), bands[row].view(np.int64).tolist()
+                    sketch[i] = odd[row].tolist()
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(ids, pa.binary()), pa.array(sign, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                ], names=["doc", "n_shingles", "set_id", "signature", "bands"])
+                    pa.array(sketch, pa.list_(pa.int64())),
+                ], names=["doc", "n_shingles", "set_id", "signature", "bands", "sketch"])
 
     return docs.mapInArrow(
-        describe, "doc long, n_shingles long, set_id binary, signature binary, bands array<long>"
+        describe, "doc long, n_shingles long, set_id binary, signature binary, bands array<long>, sketch array<long>"
     )
 
 
@@ -159,15 +180,18 @@ def shared_counts(sets: DataFrame, parts: int) -> DataFrame:
     """``doc, n_own``: how many shingles of a document no other set holds.
 
     Documents without any are left out. A shingle that a slice holds twice is
-    sent once, without a document, so a very frequent one never gathers.
+    sent once, without a document, so a very frequent one never gathers. Each part
+    answers a slice with one packed row, not one for each of its documents.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in packed], 1 << 23):
-                keys = np.frombuffer(b"".join(packed[a:b]), U)
-                owner = np.repeat(batch.column(0).to_numpy()[a:b], [len(x) // 8 for x in packed[a:b]])
+        for place, (batch, (a, b)) in enumerate(
+            (batch, cut) for batch in batches for cut in slices(pc.binary_length(batch.column(1)).to_pylist(), 1 << 23)
+        ):
+            packed = batch.column(1).slice(a, b - a).to_pylist()
+            if packed:
+                keys = np.frombuffer(b"".join(packed), U)
+                owner = np.repeat(batch.column(0).to_numpy()[a:b], [len(x) // 8 for x in packed])
                 keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
                 owner = np.where(counts == 1, owner[first], MANY)
                 where = (mix(keys) % U(parts)).astype(np.int64)
@@ -175,20 +199,32 @@ def shared_counts(sets: DataFrame, parts: int) -> DataFrame:
                 keys, owner, ends = keys[order], owner[order], np.cumsum(np.bincount(where, minlength=parts))[:-1]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(parts), pa.int32()),
+                    pa.array([(TaskContext.get().partitionId() << 32) + place] * parts, pa.int64()),
                     pa.array([x.tobytes() for x in np.split(keys, ends)], pa.binary()),
                     pa.array([x.tobytes() for x in np.split(owner, ends)], pa.binary()),
-                ], names=["part", "keys", "owners"])
+                ], names=["part", "slice", "keys", "owners"])
 
     def judge(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U)
-        owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
+        sent = table.column("owners").to_pylist()
+        owner = np.frombuffer(b"".join(sent), np.int64)
         _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        owner = owner[first[counts == 1]]
-        docs, n = np.unique(owner[owner != MANY], return_counts=True)
+        own = np.sort(first[counts == 1])
+        own = own[owner[own] != MANY]
+        ends = np.searchsorted(own, np.cumsum([len(x) // 8 for x in sent])[:-1])
+        return pa.table({
+            "slice": table.column("slice"),
+            "owners": pa.array([x.tobytes() for x in np.split(owner[own], ends)], pa.binary()),
+        })
+
+    def gather(table: pa.Table) -> pa.Table:
+        docs, n = np.unique(np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64), return_counts=True)
         return pa.table({"doc": docs, "n_own": n.astype(np.int64)})
 
-    sent = sets.mapInArrow(send, "part int, keys binary, owners binary")
-    return sent.groupBy("part").applyInArrow(judge, "doc long, n_own long").groupBy("doc").agg(F.sum("n_own").alias("n_own"))
+    sent = sets.mapInArrow(send, "part int, slice long, keys binary, owners binary")
+    told = sent.groupBy("part").applyInArrow(judge, "slice long, owners binary")
+    counted = told.groupBy("slice").applyInArrow(gather, "doc long, n_own long")
+    return counted.groupBy("doc").agg(F.sum("n_own").alias("n_own"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,10 +252,17 @@ def alike(n: Column, shared: Column, n_other: Column) -> Column:
     return (100 + percent) * shared >= percent * (n + n_other)
 
 
+def near_sketches(n: Column, sketch: Column, n_other: Column, sketch_other: Column) -> Column:
+    """Whether sets whose odd sketches differ in so many bits can be similar enough."""
+    percent, total = round(100 * THRESHOLD), n + n_other
+    differ = sum((F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(sketch_other, F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (100 + percent) * (total - differ) >= 2 * percent * total
+
+
 def near_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, component`` of the classes that verified links connect with others.
 
-    ``classes``: ``doc, n_shingles, signature, bands`` of one document per set.
+    ``classes``: ``doc, n_shingles, signature, bands, sketch`` of one document per set.
     """
     spark = docs.sparkSession
     total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
@@ -235,7 +278,7 @@ def near_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     own = materialised(shared_counts(sets, parts), "own")
     # What a document shares with no other set bounds every similarity that it can have.
     sizes = classes.join(own, "doc", "left").select(
-        "doc", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("shared"), "signature"
+        "doc", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("shared"), "signature", "sketch"
     ).where(alike(F.col("n"), F.col("shared"), F.ceil(F.col("n") * THRESHOLD)))
     sizes = written(sizes.join(partnered, "doc"), "sizes")
     open_rows = written(crowded.join(sizes.drop("signature"), "doc").withColumn("label", F.col("doc")), "buckets")
@@ -245,9 +288,10 @@ def near_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
         by_id = Window.partitionBy("bucket").orderBy("doc")
         # Written, so that adaptive execution can split the joins with very large buckets.
         middle = open_rows.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= centres)
-        middle = written(middle.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("doc", "label", "n", "shared"))), "centres")
+        middle = written(middle.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("doc", "label", "n", "shared", "sketch"))), "centres")
         # A centre meets the members after it that it isn't connected with yet.
-        possible = alike(F.col("n"), F.least("shared", "shared_a"), F.col("n_a"))
+        possible = alike(F.col("n"), F.least("shared", "shared_a"), F.col("n_a")) & near_sketches(
+            F.col("n"), F.col("sketch"), F.col("n_a"), F.col("sketch_a"))
         pairs = (
             middle.join(open_rows, "bucket")
             .where((F.col("doc_a") < F.col("doc")) & (F.col("label_a") != F.col("label")) & possible)
@@ -264,7 +308,7 @@ def near_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
         rest = (
             open_rows.drop("label").join(middle.select("bucket", F.col("doc_a").alias("doc")), ["bucket", "doc"], "left_anti")
             .join(labels, F.col("doc") == F.col("node"), "left")
-            .select("bucket", "doc", "n", "shared", F.coalesce("component", "doc").alias("label"))
+            .select("bucket", "doc", "n", "shared", "sketch", F.coalesce("component", "doc").alias("label"))
         )
         rest = written(rest, "rest")
         mixed = rest.groupBy("bucket").agg(
