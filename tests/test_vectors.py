@@ -76,3 +76,28 @@ def test_expressions(spark):
         V.cosine(a, V.zeros(2))).first()
     assert row[0] == pytest.approx(0.5 ** 0.5)
     assert list(row)[1:] == [[2.0, 1.0], [3.0, 0.0], [1.0, 0.5], 1.0, 0.0]
+
+
+@pytest.mark.parametrize("how", ["sum", "mean", "running"])
+def test_dictionary_in_slices(spark, lookup, monkeypatch, how):
+    monkeypatch.setattr(W, "SLICE_ROWS", 2)
+    monkeypatch.setattr(W, "WORD_ROWS", 2)
+    docs = spark.createDataFrame(list(DOCS.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["vector"] for r in W.aggregate_vectors(docs, lookup, how, 2).collect()}
+    assert got.keys() == DOCS.keys()
+    for key, text in DOCS.items():
+        assert got[key] == pytest.approx(expected(text, how), abs=1e-9), (key, how)
+
+
+@pytest.mark.parametrize("how", ["mean", "running"])
+def test_tokens_do_not_move_to_large_dictionaries(spark, lookup, capsys, how):
+    """However small a table Spark broadcasts by itself."""
+    docs = spark.createDataFrame(list(DOCS.items()), "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        W.aggregate_vectors(docs, lookup, how, 2).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
