@@ -212,3 +212,16 @@ def test_no_documents_or_items(spark, bench):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
     assert [r.contaminated for r in decontaminate.decontaminate(docs, items.limit(0)).collect()] == [False]
     assert [r.contaminated for r in decontaminate.decontaminate(docs, items).collect()] == [False]
+
+
+def test_every_labelled_proposal_is_learned_from(spark):
+    rows = [(i, 0, 1, int(i % 4 == 0), [float(i)]) for i in range(40)] + [(40, 0, 1, None, [0.0])]
+    table = spark.createDataFrame(rows, "row long, place int, kind int, label int, features array<double>")
+    got = pii.labelled_rows(table, 15).collect()
+    assert len(got) == 40
+    for label, n in ((0, 30), (1, 10)):
+        assert abs(sum(r.weight for r in got if r.label == label) - min(n, 15)) < 1e-9
+
+
+def test_weighted_thresholds():
+    assert pii.calibrated([(1, 0.9, 1.0), (1, 0.8, 2.5), (0, 0.7, 0.5)]) == 0.8

@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.llm.batches import materialised
-from textlab.operators.ranking import hash_cutoffs
 from textlab.session import written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labelled proposals the trees are fitted and calibrated on, of each kind and label, at most.
 FIT_ROWS = 5_000
-FIT_PARTS = 6
+FIT_PARTS, PART_ROWS = 6, 100_000  # parts of a fit at least, and rows of a part at most
 TREES, DEPTH = 20, 5
 PRECISION = 0.98  # that proposals above a threshold must reach on held-out rows
 
@@ -299,25 +298,28 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, SCANNED)
 
 
-def labelled_sample(candidates: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled proposals of each kind and label, by hash; ``fold`` 0 is for calibration."""
-    keyed = candidates.where("label IS NOT NULL").withColumn("group", F.concat_ws(":", "kind", "label")).withColumn(
-        "digest", F.md5(F.concat_ws(":", "row", "place"))
-    )
-    cut = hash_cutoffs(keyed, "digest", F.least(F.col("n"), F.lit(rows)), "group")
+def labelled_rows(candidates: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """Every labelled proposal; ``fold`` 0 is for calibration. Kinds and labels weigh as ``rows`` proposals at most."""
+    groups = candidates.where("label IS NOT NULL").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    digest = F.md5(F.concat_ws(":", "row", "place"))
     # One row per kind and label.
-    return keyed.join(F.broadcast(cut), "group").where(F.col("digest") <= F.col("cutoff")).select(
-        "kind", "label", array_to_vector("features").alias("vector"), F.pmod(F.crc32("digest"), F.lit(5)).alias("fold")
+    return candidates.where("label IS NOT NULL").join(F.broadcast(groups), ["kind", "label"]).select(
+        "kind", "label", array_to_vector("features").alias("vector"), F.pmod(F.crc32(digest), F.lit(5)).alias("fold"),
+        (F.least(F.col("n"), F.lit(rows)) / F.col("n")).alias("weight")
     )
 
 
-def calibrated(scored: list[tuple[int, float]], precision: float = PRECISION) -> float:
-    """The least threshold whose rows ``(label, probability)`` reach the precision; above 1 if none does."""
-    best, right = 2.0, 0
+def calibrated(scored: list[tuple], precision: float = PRECISION) -> float:
+    """The least threshold whose rows ``(label, probability)`` reach the precision; above 1 if none does.
+
+    A third element is the weight of a row, 1 otherwise.
+    """
+    best, right, total = 2.0, 0, 0
     ordered = sorted(scored, key=lambda x: -x[1])
-    for n, (label, probability) in enumerate(ordered, 1):
-        right += label
-        if right >= precision * n and (n == len(ordered) or ordered[n][1] < probability):
+    for n, (label, probability, *weight) in enumerate(ordered, 1):
+        total += sum(weight) if weight else 1
+        right += label * (sum(weight) if weight else 1)
+        if right >= precision * total and (n == len(ordered) or ordered[n][1] < probability):
             best = probability
     return best
 
@@ -327,22 +329,24 @@ def selected(candidates: DataFrame) -> DataFrame | None:
     rest = candidates.where("label IS NULL").withColumn("vector", array_to_vector("features"))
     if rest.isEmpty():
         return None
-    sample = written(labelled_sample(candidates).repartition(FIT_PARTS), "sample")  # a bounded table
-    known = {(r.kind, r.label, r.fold > 0) for r in sample.select("kind", "label", "fold").distinct().collect()}
+    parts = max(FIT_PARTS, -(-candidates.where("label IS NOT NULL").count() // PART_ROWS))
+    rows = written(labelled_rows(candidates).repartition(parts), "labelled")
+    known = {(r.kind, r.label, r.fold > 0) for r in rows.select("kind", "label", "fold").distinct().collect()}
     # Kinds without a label of the corpus to fit or to calibrate on; at most a few hundred rows.
     fixed = [
-        (k, label, f, i % 5) for k in range(len(KINDS)) for label in (0, 1) if not {(k, label, True), (k, label, False)} <= known
+        (k, label, f, i % 5, 1.0) for k in range(len(KINDS)) for label in (0, 1) if not {(k, label, True), (k, label, False)} <= known
         for i, f in enumerate(examples(k, label))
     ]
     if fixed:
         spark = candidates.sparkSession
-        more = spark.createDataFrame(fixed, "kind int, label int, features array<double>, fold int")
-        sample = sample.unionByName(more.withColumn("vector", array_to_vector("features")).drop("features"))
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(
-        sample.where("fold > 0"))
+        more = spark.createDataFrame(fixed, "kind int, label int, features array<double>, fold int, weight double")
+        rows = rows.unionByName(more.withColumn("vector", array_to_vector("features")).drop("features"))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(
+        rows.where("fold > 0"))
     chance = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
-    held = model.transform(sample.where("fold = 0")).select("kind", "label", chance.alias("p")).collect()  # bounded
-    limits = [calibrated([(r.label, r.p) for r in held if r.kind == k]) for k in range(len(KINDS))]
+    held = model.transform(rows.where("fold = 0")).groupBy("kind", "label", chance.alias("p")).agg(F.sum("weight").alias("weight"))
+    held = held.collect()  # probabilities of six digits: bounded, and few, as sums of leaves
+    limits = [calibrated([(r.label, r.p, r.weight) for r in held if r.kind == k]) for k in range(len(KINDS))]
     return (
         model.transform(rest).withColumn("score", chance)
         .where(F.col("score") >= F.get(F.array(*map(F.lit, limits)), F.col("kind")))
