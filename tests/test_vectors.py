@@ -101,3 +101,23 @@ def test_tokens_do_not_move_to_large_dictionaries(spark, lookup, capsys, how):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("how", ["sum", "mean"])
+def test_slices_share_one_pass(spark, monkeypatch, how):
+    """Sums of several slices are not written; words, documents and vectors that come twice, nulls and blank texts count as with one."""
+    vectors = spark.createDataFrame(
+        [(w, [float(i + j) / 3 if (i + j) % 7 else None for j in range(40)]) for i, w in enumerate(WORDS)] + [("oak", [0.1] * 40), ("ash", None)],
+        "word string, vector array<double>")
+    lookup = W.vector_lookup(vectors, spark.createDataFrame(list(LEMMAS.items()), "word string, lemma string"))
+    docs = spark.createDataFrame([*DOCS.items(), (1, "elm ash"), (None, "oak"), (8, None), (9, "oak " * 50)], "doc_id bigint, text string")
+    one = {r["doc_id"]: r["vector"] for r in W.aggregate_vectors(docs, lookup, how, 40).collect()}
+    monkeypatch.setattr(W, "SLICE_ROWS", 2)
+    monkeypatch.setattr(W, "GATHERED", 2)
+    monkeypatch.setattr(W, "written", None)
+    for held in (0, 100):
+        monkeypatch.setattr(W, "HELD", held)
+        many = {r["doc_id"]: r["vector"] for r in W.aggregate_vectors(docs, lookup, how, 40).collect()}
+        assert many.keys() == one.keys() and 8 not in many and None in many
+        for key in one:
+            assert many[key] == pytest.approx(one[key], abs=1e-9)
