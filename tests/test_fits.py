@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from textlab.operators import many_fits as L
 from textlab.operators import models as M
@@ -165,6 +166,26 @@ def test_networks_beat_the_majority(spark, data, shard_rows, monkeypatch):
     assert said.where("probability < 0.5 OR probability > 1").isEmpty()
 
 
+@pytest.mark.parametrize("n", [5, 8])
+def test_networks_train_in_tasks_of_their_own(data, n):
+    *_, rows, _ = data
+    copies, shards, lanes = N.dealt(rows, [network()] * n)
+    groups = copies.select("lane", "shard", F.spark_partition_id().alias("task")).distinct()
+    assert (shards, lanes, groups.count()) == (1, n, n)
+    assert groups.groupBy("task").count().where("count > 1").isEmpty()
+
+
+def test_networks_compute_in_single_precision(data):
+    *_, rows, _ = data
+    part, _ = N.matrices(rows.limit(20).toArrow())
+    net = network(learning_rate="adaptive")
+    state = N.State(N.State.start(net, part.x.shape[1]))
+    state.epoch(net, part.x, part.y, np.ones(len(part.y)), np.arange(len(part.y)))
+    assert {a.dtype for a in (part.x, state.flat, state.first, state.second, *N.forward(net, state.flat, part.x))} == {np.dtype("float32")}
+    sure = np.full_like(state.flat, 100)                         # a loss is finite however sure a network is
+    assert np.isfinite(N.loss_and_gradient(net, sure, np.abs(part.x) + 1, np.zeros(len(part.y)), np.ones(len(part.y)))[0])
+
+
 def test_networks_in_the_search(data):
     features, splits, rows, numbers = data
     params = {"hidden_layer_sizes": "(4,)", "batch_size": 64, "learning_rate_init": 0.01}
