@@ -25,6 +25,20 @@ def test_named_texts(spark, tmp_path):
     assert sorted(map(tuple, readers.read_named_texts(spark, path).collect())) == sorted(rows)
 
 
+def test_named_texts_do_not_cost_a_folder_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FOLDER_FILES", 100)
+    path = tmp_path / "texts"
+    rows = [(f"post_{i}", f"text {i}\n" * (i % 3)) for i in range(450)] + [(None, "no name"), ("post_x", None)]
+    writers.write_named_texts(spark.createDataFrame(rows, "name string, text string").coalesce(1), str(path))
+    assert len([f for f in path.iterdir() if f.is_dir() and f.name != "folders"]) == 5
+    assert len(list(path.glob("*/*.txt"))) == 452
+    (path / "texts-of-a-failed-attempt").mkdir()
+    (path / "texts-of-a-failed-attempt" / "post_1.txt").write_text("part")
+    back = readers.read_named_texts(spark, str(path))
+    assert back.rdd.getNumPartitions() == 5
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(str((n, t or "")) for n, t in rows)
+
+
 def test_term_list(spark, tmp_path):
     (tmp_path / "terms.txt").write_text(" Red Oak\nred oak\n\n   \nPine", encoding="utf-8")
     path = str(tmp_path / "terms.txt")

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.operators.report import as_results
+from textlab.session import mounted_path
+
+FOLDER_FILES = 1_000  # texts in a folder, which one task reads
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # stands for null and the empty name, as in Spark's folders
 
 
 def write_corpus(docs: DataFrame, path: str) -> None:
@@ -63,8 +73,30 @@ def write_error_report(report: DataFrame, path: str) -> None:
 
 
 def write_named_texts(docs: DataFrame, path: str) -> None:
-    """A ``.txt`` file for each row of ``docs(name, text)``, in a folder by its name; names are unique.
+    """A ``.txt`` file for each row of ``docs(name, text)``, called by its name; names are unique.
 
-    The text is followed by one line feed.
+    The text is followed by one line feed. Tasks of a mounted folder put their files into
+    folders of their own, ``FOLDER_FILES`` in each; the table ``folders`` names those
+    of the attempts that count, so what a failed one leaves is never read. In other stores Spark
+    writes a folder for each name. A path that exists is an error.
     """
-    docs.select("name", "text").write.partitionBy("name").text(path)
+    named = docs.select("name", "text")
+    root = mounted_path(docs.sparkSession, path)
+    if root is None:
+        return named.write.partitionBy("name").text(path)
+    os.makedirs(root)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders, placed = [], {}
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if name not in placed:
+                    if len(placed) % FOLDER_FILES == 0:
+                        folders.append(f"texts-{uuid.uuid4().hex}")
+                        os.mkdir(f"{root}/{folders[-1]}")
+                    placed[name] = f"{root}/{folders[-1]}/{quote(name or NO_NAME, safe='')}.txt"
+                with open(placed[name], "ab") as out:  # a name that comes again in a task goes on in its file
+                    out.write((text or b"") + b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string())], names=["folder"])
+
+    named.mapInArrow(put, "folder string").write.parquet(f"{path}/folders")
