@@ -103,6 +103,21 @@ def test_buckets_are_of_bounded_size_and_rows_move_in_proportion(spark):
     assert sizes <= 64 and index.members.count() == 3 * n and index.probes.count() <= 3 * 4 * n
 
 
+def test_the_recall_of_a_sample_is_known_from_codes(spark):
+    reps = lsh.collapsed(points(spark), 5).select("rep", "vector").cache()
+    sample = reps.where("rep % 9 = 0").cache()
+    truth = lsh.sampled_exact(reps, sample, 5)
+    buckets, alone = lsh.Buckets(reps, 64), lsh.index_of(reps, 3, 2, 64)
+    buckets.grow(2)
+    buckets.grow(3)                                       # tables added are those made at once
+    index = buckets.index(2)
+    assert index.members.exceptAll(alone.members).isEmpty() and index.probes.exceptAll(alone.probes).isEmpty()
+    assert buckets.own.columns == ["place", "rep", "code"]
+    searched = lsh.near(lsh.Index(index.members, index.probes.join(sample.select("rep"), "rep")), 5)
+    share = lsh.recall(buckets.meetings(sample, truth, 2), truth)
+    assert share == lsh.recall(searched, truth) and 0.1 < share < 1
+
+
 def test_encoders_get_texts_of_similar_length(spark):
     groups = []
 
