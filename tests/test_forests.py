@@ -103,3 +103,48 @@ def test_a_forest_keeps_no_tree_in_the_driver(spark, monkeypatch):
     want = rows.join(holdout_splits(rows.distinct(), 2).where("part = 'test'"), "row_id")
     assert found.count() == want.count()
     assert S.split_scores(found).agg(F.min("accuracy")).first()[0] > 0.7
+
+
+def test_chosen_terms_are_read_from_their_own_entries(monkeypatch):
+    """A node of many sparse rows looks at the entries of the terms it chose, not at all that its rows hold."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    n, dims, drawn = 600, 900, 30
+    terms = [np.sort(rng.choice(dims, 40, replace=False)).astype(np.int32) for _ in range(n)]
+    terms[7] = np.sort(np.append(terms[7], terms[7][:3]))                 # a term that comes twice
+    table = pa.table({"label": pa.array(rng.integers(0, 2, n)), "hash": pa.array(rng.integers(0, 1 << 62, n)), "terms": pa.array(terms, pa.list_(pa.int32())),
+                      "bins": pa.array([rng.integers(1, 33, len(t)).astype(np.uint8).tobytes() for t in terms], pa.binary())})
+    forest, block = forests.Forest(1, "sqrt", "gini", dims), forests.Block(table, dims)
+    rows, node = np.arange(0, n, 2), np.arange(n // 2) % 3
+    factor, shift = forests.draws(forest, 0, np.array([4, 5, 6]))
+    read = []
+    real = forests.Block.by_terms
+
+    def counted(*args):
+        out = real(*args)
+        read.append(sum(len(i) for i, _, _ in out))
+        return out
+
+    monkeypatch.setattr(forests.Block, "by_terms", counted)
+    got = sorted(zip(*(x.tolist() for x in block.chosen(rows, node, factor, shift, drawn))))
+    want = sorted((i, int(j), int(b)) for i, r in enumerate(rows) for t, b in zip(terms[r], block.bins[block.first[r]:block.first[r + 1]])
+                  if (j := factor[node[i]] * (int(t) - shift[node[i]]) % dims) < drawn)
+    assert got == want and read == [len(want)]
+    feature, cut = np.array([terms[7][0], 3, -1]), np.array([5, 2, 0])
+    inner = node < 2
+    assert (block.goes_right(rows[inner], node[inner], feature, cut) == (block.at(rows[inner], feature[node[inner]]) >= cut[node[inner]])).all()
+
+
+def test_small_trees_go_to_the_rows(spark, monkeypatch):
+    """Rows are classified where all trees are, if these are small, and move once; either way gives the same."""
+    rows = sparse(spark).cache()
+    train, test = rows.where("row_id % 4 <> 1"), rows.where("row_id % 4 = 1")
+    real, moved = forests.dealt, []
+    monkeypatch.setattr(forests, "dealt", lambda *a, **k: moved.append(k["train"]) or real(*a, **k))
+    found = []
+    for trees, cells in ((1 << 26, 1 << 24), (0, 1 << 24), (1 << 26, 700)):
+        monkeypatch.setattr(forests, "TREES", trees)
+        monkeypatch.setattr(forests, "LOCAL_CELLS", cells)
+        found.append({tuple(r) for r in forests.predictions(train, test, PARAMS, KEEP).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 75
+    assert moved == [True, True, False, True]
