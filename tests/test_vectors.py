@@ -121,3 +121,23 @@ def test_slices_share_one_pass(spark, monkeypatch, how):
         assert many.keys() == one.keys() and 8 not in many and None in many
         for key in one:
             assert many[key] == pytest.approx(one[key], abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [2, 1 << 17])
+def test_sum_and_mean_in_one_pass(spark, lookup, monkeypatch, rows):
+    """Both vectors at once are those of either alone; tasks, not the driver, make what is broadcast, and it can be released."""
+    monkeypatch.setattr(W, "SLICE_ROWS", rows)
+    docs = spark.createDataFrame([(1, "a b b zz"), (2, ""), (3, "b a"), (4, None), (3, "b")], "doc_id bigint, text string")
+    alone = {how: {r["doc_id"]: r["vector"] for r in W.aggregate_vectors(docs, lookup, how).collect()} for how in ("sum", "mean")}
+
+    def refuse(*_):
+        raise AssertionError("made by the driver")
+
+    monkeypatch.setattr(W, "_word_slice", refuse)
+    sent = []
+    both = W.aggregate_both(docs, lookup, kept=sent).collect()
+    assert len(both) == len(alone["sum"]) and bool(sent) == (rows == 2)
+    for r in both:
+        assert r["sum"] == alone["sum"][r["doc_id"]] and r["mean"] == alone["mean"][r["doc_id"]]
+    for one in sent:
+        one.destroy()
