@@ -213,3 +213,20 @@ def test_every_searched_model_can_be_built(spark):
     for model in SPACE:
         params = trial_table(keys, model, 1).first().asDict()
         assert M.build_classifier(params, 100, 4) is not None
+
+
+def test_recorded_classifiers_run_side_by_side(spark, data, monkeypatch):
+    """Classifiers of several files do not wait for each other."""
+    import threading
+    features, splits, *_ = data
+    both = threading.Barrier(2)
+
+    def score(model, *_):
+        both.wait(60)
+        return 0.5, 0.0, 0.75, 0.0
+
+    monkeypatch.setattr(tuning, "test_scores", score)
+    recorded = spark.createDataFrame([(f, "Logistic Regression") for f in ("f.csv", "g.csv", "h.csv")], "filename string, model string")
+    found = tuning.evaluate_recorded(recorded, {f: (features, splits) for f in ("f.csv", "g.csv")}).collect()
+    assert sorted((r["filename"], r["status"], r["acc_mean"]) for r in found) == [
+        ("f.csv", "scored", 0.75), ("g.csv", "scored", 0.75), ("h.csv", "missing", None)]
