@@ -148,3 +148,23 @@ def test_small_trees_go_to_the_rows(spark, monkeypatch):
         found.append({tuple(r) for r in forests.predictions(train, test, PARAMS, KEEP).collect()})
     assert found[0] == found[1] == found[2] and len(found[0]) == 75
     assert moved == [True, True, False, True]
+
+
+def test_cuts_are_quantiles(spark, monkeypatch):
+    """Of few rows exactly, of many to a thousandth of the ranks, in one pass for all elements."""
+    rng = np.random.default_rng(9)
+    few, many = (np.stack([rng.normal(size=n), rng.integers(0, 5, n) * 1.0, rng.exponential(size=n)], axis=1) for n in (700, 30_000))
+
+    def refuse(*_):
+        raise AssertionError("a sketch for each element")
+
+    monkeypatch.setattr(F, "percentile_approx", refuse)
+    for x, slack in ((few, 0), (many, 1e-3)):
+        rows = [(v.tolist(),) for v in x] + ([([None, None, None],)] if not slack else [])
+        found = forests.dense_cuts(spark.createDataFrame(rows, "vector array<double>").repartition(3), 3)
+        for i, cuts in enumerate(found):
+            own, shares = np.sort(x[:, i]), np.arange(1, forests.BINS) / forests.BINS
+            if not slack:
+                assert cuts.tolist() == np.unique(own[np.ceil(shares * len(own)).astype(int) - 1]).tolist()
+            below, upto = np.searchsorted(own, cuts) / len(own), np.searchsorted(own, cuts, side="right") / len(own)
+            assert all(((below <= s + slack) & (s <= upto + slack)).any() for s in shares)
